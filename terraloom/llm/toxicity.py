@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier over hashed words, regularised by counterfactuals.
 
-A text is the set of its lower-cased words, hashed to 2^18 columns, so the broadcast model is 2 MB at any size.
+A text is the set of its lower-cased words and their prefixes of three to eight letters, hashed to 2^18 columns, so the broadcast model is 2 MB at any size.
 Training minimises logistic loss, plus an L2 term, plus a penalty on every squared difference between the score of a
 labelled text and the score of its counterfactual: the same text with each identity term swapped for the next term
 of its group. So neutral mentions of a group can't carry score. Columns that fewer than ``min_df`` training texts use,
-copies counted once, are not learnt.
+copies counted once, are not learnt; nor are those whose use differs between the classes by under ``min_z`` standard errors.
 
 Training takes a bounded, hash-chosen sample of labelled rows: at most about ``max_rows`` a class. Scoring reads every whole text.
 
@@ -53,14 +53,17 @@ _SWAP = {t: row[(k + 1) % len(row)] for row in IDENTITY_TERMS for k, t in enumer
 
 
 class Columns(dict):
-    def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word) & ((1 << BITS) - 1)
+    """Words to the columns of the word and of its prefixes, which catch inflected and compound forms."""
+
+    def __missing__(self, word: str) -> bytes:
+        parts = [word, *(f"{word[:k]}~" for k in range(3, min(len(word), 9)))]
+        value = self[word] = np.array([xxhash.xxh3_64_intdigest(x) & ((1 << BITS) - 1) for x in parts], np.int32).tobytes()
         return value
 
     def of(self, words: set[str]) -> np.ndarray:
-        if len(self) > 400_000:
+        if len(self) > 300_000:
             self.clear()
-        return np.unique(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+        return np.unique(np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32))
 
 
 def words_of(text: str | None) -> set[str]:
@@ -77,7 +80,7 @@ def _sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows) if rows else np.empty(0, np.int32)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, twins: list[np.ndarray | None], *, l2: float = 2e-4, counterfactual: float = 1.0, min_df: int = 5, rounds: int = 400) -> np.ndarray:
+def fit(rows: list[np.ndarray], labels: np.ndarray, twins: list[np.ndarray | None], *, l2: float = 2e-4, counterfactual: float = 1.0, min_df: int = 5, min_z: float = 3.0, rounds: int = 300) -> np.ndarray:
     """Weights by column, and the bias last: full-batch Adam on the regularised loss."""
     positive = float(labels.mean()) if len(labels) else 0.0
     weights = np.zeros((1 << BITS) + 1)
@@ -85,7 +88,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, twins: list[np.ndarray | Non
         weights[-1] = 12.0 if positive else -12.0
         return weights
     df = np.bincount(np.concatenate(rows), minlength=1 << BITS)
-    used = np.flatnonzero(df >= min_df)
+    toxic = [r for r, y in zip(rows, labels) if y == 1]
+    share = df / len(rows)
+    a = np.bincount(np.concatenate(toxic), minlength=1 << BITS) / len(toxic)
+    b = (share - a * positive) / (1 - positive)
+    z = (a - b) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / len(toxic) + 1 / (len(rows) - len(toxic))))
+    used = np.flatnonzero((df >= min_df) & (np.abs(z) >= min_z))
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     own = lambda r: place[r][place[r] >= 0]
