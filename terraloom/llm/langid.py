@@ -221,7 +221,9 @@ def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], *,
         if not languages:
             yield kept | {"lang_pred": ["und"] * batch.num_rows, "score": [0.0] * batch.num_rows}
             return
-        scorer = state.setdefault("scorer", Scorer(path, shared.value))
+        if "scorer" not in state:
+            state["scorer"] = Scorer(path, shared.value)
+        scorer = state["scorer"]
         best, score = [], []
         texts = batch.column(len(keep))
         for at in range(0, batch.num_rows, 256):
@@ -235,3 +237,24 @@ def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], *,
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return map_batches(docs.select(*keep, text), run, f"{schema}{', ' * bool(schema)}lang_pred string, score double")
+
+
+def accept(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents with a predicted language whose posterior is at least ``least``; all columns kept, no shuffle."""
+    languages, probs = model
+    shared, at = docs.sparkSession.sparkContext.broadcast(probs), docs.columns.index(text)
+    state: dict[str, Scorer] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches if languages else ():
+            if "scorer" not in state:
+                state["scorer"] = Scorer(path, shared.value)
+            scorer, good = state["scorer"], []
+            for k in range(0, batch.num_rows, 256):
+                words = [words_of(t) for t in batch.column(at)[k : k + 256].to_pylist()]
+                logs = scorer.scores(words)
+                posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+                good += [bool(w) and x >= least for w, x in zip(words, posterior.tolist())]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -238,8 +238,8 @@ def _as_column(tree: tuple | float, f: Column) -> Column:
     return F.when(f[FEATURES[i]] <= cut, _as_column(low, f)).otherwise(_as_column(high, f))
 
 
-def detect(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, ``source`` (the text, never null), ``base`` and ``spans``: arrays of (start, rank, kind, end) in order."""
+def _found(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns as _k0, _k1, ...; _text (never null), _base and _spans."""
     trees, least = _model()
     rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     clean = F.translate("_text", _MARK, "\x02")
@@ -261,7 +261,31 @@ def detect(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc
     better = lambda o, c: (o["s"]["start"] < c["s"]["end"]) & (c["s"]["start"] < o["s"]["end"]) & (F.struct(o["loss"], o["s"]["rank"], o["s"]["start"]) < F.struct(c["loss"], c["s"]["rank"], c["s"]["start"]))
     best = F.when(F.size("_good") > 0, F.transform(F.filter("_good", lambda c: ~F.exists("_good", lambda o: better(o, c))), lambda c: c["s"]))
     spans = F.when(best.isNotNull(), F.array_sort(F.concat("_base", best))).otherwise(F.col("_base"))
-    return rows.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_text").alias("source"), F.col("_base").alias("base"), spans.alias("spans"))
+    return rows.select(*[f"_k{i}" for i in range(len(keep))], "_text", "_base", spans.alias("_spans"))
+
+
+def detect(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The key, ``source`` (the text, never null), ``base`` and ``spans``: arrays of (start, rank, kind, end) in order."""
+    return _found(docs, text, [key]).select(F.col("_k0").alias(key), F.col("_text").alias("source"), F.col("_base").alias("base"), F.col("_spans").alias("spans"))
+
+
+def redact(docs: DataFrame, *, text: str = "text", length: str | None = None) -> DataFrame:
+    """All columns, with every span of the text replaced by its kind; ``length``, if given, names the column of the text's length to renew.
+
+    A null text stays null.
+    """
+    new = redacted(F.col("_text"), F.col("_spans"))
+    rows = _found(docs, text, docs.columns).withColumn("_new", new)
+
+    def column(i: int, name: str) -> Column:
+        old = F.col(f"_k{i}")
+        if name == text:
+            old = F.when(old.isNotNull(), F.col("_new"))
+        elif name == length:
+            old = F.when(old.isNotNull(), F.length("_new").cast(docs.schema[name].dataType))
+        return old.alias(name)
+
+    return rows.select(*[column(i, c) for i, c in enumerate(docs.columns)])
 
 
 def listed(spans: Column) -> Column:
