@@ -1,17 +1,66 @@
-"""The corpus pipeline: STAGES applied in turn to ``documents``, each written and read again."""
+"""The corpus pipeline: STAGES applied in turn to ``documents``, each written as Parquet and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of documents.
+No stage is expressible in SQL as a whole (learnt models, BPE), so ORACLE_SQL is None; tests hold each stage against brute force.
+"""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terraloom.llm import bpe, decontam, langid, near_dedup, pii
+from terraloom.llm._common import written
+
+
+def _tokenizer(name: str) -> str:
+    return importlib.import_module("public_tokenizers").path(name)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in an identified language; those without letters or without a likely language go."""
+    pieces = _tokenizer("piece_bpe_32k.model")
+    return langid.accept(docs, pieces, langid.train(docs, pieces))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.remove(docs, size=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; n_chars follows the text."""
+    return pii.redact(docs, length="n_chars")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids of every document; raises if decoding doesn't give the text back."""
+    tokens = bpe.encode(docs.withColumn("text", F.coalesce("text", F.lit(""))), _tokenizer("byte_bpe_50k.json"), keep=("doc_id", "lang", "source", "text"))
+    lost = F.raise_error(F.concat(F.lit("decoding lost text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("int")
+    return tokens.select("doc_id", "lang", "source", F.when(F.col("decoded") == F.col("text"), F.size("ids")).otherwise(lost).alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("without_personal_data", without_personal_data),
+    ("encoded", encoded),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
