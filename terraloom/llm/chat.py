@@ -50,11 +50,14 @@ def paths(messages: DataFrame, *, tree: str = "tree", node: str = "node", parent
     state = written(state, "jumps")
     total_rows, jumps = state.count(), []
     leaves = _joined(state, state.where("up is not null").select("tree", "up"), F.col("a.node") == F.col("b.up"), "left_anti").select("tree", "node")
-    while not state.where("up is not null").isEmpty() and 2 ** len(jumps) <= total_rows:
-        jumps.append(state.where("up is not null").select("tree", "node", "up"))
-        step = _joined(state, state, F.col("a.up") == F.col("b.node"), "left")
-        state = written(step.select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total")), "jumps")
-    ended = _joined(state.where("up is null"), leaves, F.col("a.node") == F.col("b.node"), "left_semi")
+    done, active = state.where("up is null"), state.where("up is not null")
+    while not active.isEmpty() and 2 ** len(jumps) <= total_rows:
+        jumps.append(active.select("tree", "node", "up"))
+        # only nodes that haven't reached their root jump on, so short paths cost nothing in later rounds
+        step = _joined(active, done.unionByName(active), F.col("a.up") == F.col("b.node"), "inner")
+        step = written(step.select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.total") + F.col("b.total")).alias("total")), "jumps")
+        done, active = done.unionByName(step.where("up is null")), step.where("up is not null")
+    ended = _joined(done, leaves, F.col("a.node") == F.col("b.node"), "left_semi")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), F.asc("node"))
     chosen = ended.withColumn("place", F.row_number().over(best)).where(F.col("place") <= branches)
     steps = chosen.select("tree", F.col("node").alias("leaf"), F.col("node").alias("at"), F.lit(0).cast("long").alias("back"))
