@@ -9,9 +9,11 @@
 4. Verification. Pairs whose signatures agree in under ``screen`` of the minima are dropped (0.8 - 0.2 is more than six standard errors at 180
    minima); the others are confirmed on their full sets. Sets are fetched by one scan that a Bloom filter of fixed size prunes.
 5. Components by alternating large-star and small-star.
-6. The rest. Two classes of one bucket may be linked without being linked to its smallest. So in buckets of three or
-   more that still hold several components, all pairs across components that were not yet tested are, by step 4, and step 5 runs on components.
-   Pairs inside a component are never made.
+6. The rest. Two classes of one bucket may be linked without being linked to its smallest. Buckets of three or more that
+   still hold several components are searched whole. Large ones first: their classes are dealt to blocks, every two blocks meet in one task,
+   which intersects the full sets of all its pairs by matrix products and returns only a spanning forest of the components that it found
+   linked, so n classes send about n * n / block rows and no pairs. Components are joined, and the small buckets that still hold several
+   give their pairs across components to step 4, and the links found to step 5.
 
 At similarity 0.8 a pair misses every band with probability (1 - 0.8^5)^36 = 6e-7.
 
@@ -36,6 +38,8 @@ BANDS, ROWS = 36, 5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BLOOM_BITS = 26  # 8 MB, whatever the corpus
+SMALL = 32  # members of a bucket whose pairs are made; larger ones are searched in blocks, just as completely
+BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
 
 _hashes = WordHashes()
 
@@ -185,6 +189,120 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component after links between components."""
+    if links.isEmpty():
+        return comp
+    return written(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
+
+
+def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """key, id, c, n of the members of the buckets that hold several components."""
+    placed = members.join(comp, members["id"] == comp["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    return written(placed.join(mixed, "key"), "mixed")
+
+
+def _across(small: DataFrame, classes: DataFrame, screen: float) -> DataFrame:
+    """a, b: the pairs of small buckets across components whose signatures pass the screen."""
+    rows = small.join(classes.select(F.col("rep").alias("id"), "signature"), "id").select("key", "id", "c", "signature")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            key, c = table["key"].to_numpy(), table["c"].to_numpy()
+            ids = table["id"].to_numpy()
+            signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(key), -1) if len(key) else np.empty((0, 1), np.uint8)
+            left, right = [], []
+            for shift in range(1, SMALL):  # rows of a bucket stand together, so every pair is some shift apart
+                if shift >= len(key):
+                    break
+                at = np.flatnonzero((key[shift:] == key[:-shift]) & (c[shift:] != c[:-shift]))
+                at = at[(signature[at] == signature[at + shift]).mean(axis=1) >= screen] if len(at) else at
+                left.append(ids[at])
+                right.append(ids[at + shift])
+            x, y = (np.concatenate(z) if z else ids[:0] for z in (left, right))
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+        for batch in batches:
+            table = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+            key = table["key"].to_numpy()
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and (key != key[-1]).any() else 0
+            if cut:
+                yield pairs(table.slice(0, cut))
+            held = [table.slice(cut)]  # the last bucket may go on in the next batch
+        if held:
+            yield pairs(held[0])
+
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _linked_components(large: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: components that full sets link, found block by block in the large buckets."""
+    ids = written(large.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    sets = written(_sets(docs, ids, size), "sets")
+    rows = large.join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
+    load = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    blocks = load.select("key", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "c", "shingles")
+    kind = large.schema["c"].dataType.simpleString()
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        own, c = table["own"].to_numpy(), table["c"].to_numpy()
+        sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        left = np.flatnonzero(own == key[1].as_py())
+        right = np.flatnonzero(own == key[2].as_py())
+        names, comp = np.unique(c, return_inverse=True)
+        linked = _pairs_of_components(sets_, left, right, comp, percent)
+        parent = list(range(len(names)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in linked.tolist():
+            if (rx := root(x)) != (ry := root(y)):
+                parent[max(rx, ry)] = min(rx, ry)
+                out.append((names[x], names[y]))
+        return pa.table({"a": pa.array([x for x, _ in out], table["c"].type), "b": pa.array([y for _, y in out], table["c"].type)})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _pairs_of_components(sets_: list[np.ndarray], left: np.ndarray, right: np.ndarray, comp: np.ndarray, percent: int) -> np.ndarray:
+    """The distinct pairs of components with a linked pair of sets, one from each side: exact intersections by products of incidence matrices."""
+    n = np.array([len(x) for x in sets_])
+    owner, flat = np.repeat(np.arange(len(sets_)), n), np.concatenate(sets_)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    place = [np.full(len(sets_), -1), np.full(len(sets_), -1)]
+    place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+    width, top = 4096, int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, top, width):
+        part = slice(*np.searchsorted(column, [at, at + width]))
+        sides = []
+        for where, rows in zip(place, (len(left), len(right))):
+            m = np.zeros((rows, width), np.float32)
+            r, k = where[owner[part]], column[part] - at
+            m[r[r >= 0], k[r >= 0]] = 1
+            sides.append(m)
+        common += sides[0] @ sides[1].T
+    good = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (comp[left][:, None] != comp[right][None, :])
+    x, y = np.nonzero(good)
+    return np.unique(np.stack([comp[left][x], comp[right][y]], axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
+
+
 def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """key, n_shingles, component_id, kept of every document."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -199,19 +317,17 @@ def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: i
     stars = written(_screened(stars, classes, screen), "stars")
     links = written(_confirmed(stars, docs, size, percent), "links")
     comp = written(components(links), "components")
-    placed = members.where("n > 2").join(comp, members["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    rest = written(placed.join(mixed, "key"), "rest")
-    if not rest.isEmpty():
-        across = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")))
-        across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-        across = written(_screened(across, classes, screen), "across")
+    large = _mixed(members.where(F.col("n") > SMALL), comp)
+    if not large.isEmpty():
+        joined = written(_linked_components(large, docs, size, percent), "linked")
+        comp = _merged(comp, joined)
+    small = _mixed(members.where((F.col("n") > 2) & (F.col("n") <= SMALL)), comp)
+    if not small.isEmpty():
+        across = written(_across(small, classes, screen).join(stars, ["a", "b"], "left_anti"), "across")
         found = _confirmed(across, docs, size, percent)
-        name = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(f"l.{'a' if side == 'p' else 'b'}"))
-        further = found.alias("l").join(comp.alias("p"), F.col("l.a") == F.col("p.node"), "left").join(comp.alias("q"), F.col("l.b") == F.col("q.node"), "left").select(name("p").alias("a"), name("q").alias("b"))
-        further = written(further, "further")
-        if not further.isEmpty():
-            comp = written(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further)), "components")
+        name = lambda side, c: F.coalesce(F.col(f"{side}.component"), F.col(f"l.{c}")).alias(c)
+        joined = found.alias("l").join(comp.alias("p"), F.col("l.a") == F.col("p.node"), "left").join(comp.alias("q"), F.col("l.b") == F.col("q.node"), "left").select(name("p", "a"), name("q", "b"))
+        comp = _merged(comp, written(joined, "linked"))
     named = sketched.select("doc_id", "n", "set_hash").join(classes.select("set_hash", "rep"), "set_hash", "left").join(comp, F.col("rep") == comp["node"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return named.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
