@@ -29,8 +29,8 @@ from ._common import map_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this code point the character classes of all Unicode versions in use agree.
 _SETTLED = re.compile("[^\x00-ԯ]")
-_MOST_WORDS = 500_000
-_MOST_PAIRS = 1_000_000
+_MOST_WORDS = 300_000
+_MOST_PAIRS = 500_000
 _NONE = 1 << 60
 
 

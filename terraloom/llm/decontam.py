@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from ._common import map_batches
+from ._common import map_batches, small_batches
 
 #: The positions that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4, 5, 6), (0, 1, 2, 4, 7, 9, 10), (0, 1, 3, 5, 6, 8, 10), (0, 2, 3, 6, 7, 8, 10))
@@ -39,7 +39,7 @@ class Tokens(dict):
         return value
 
     def of(self, text: str | None) -> np.ndarray:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         found = _TOKEN.findall(text.lower()) if text else []
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
@@ -135,6 +135,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
 def remove(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", overlap: int = 13, share: float = 0.8, least: int = 8, block_tokens: int = 400_000) -> DataFrame:
     """The documents into which no item leaks, all columns kept. No shuffle."""
     at = docs.columns.index(text)
+    small_batches(docs.sparkSession)
     for index in blocks(benchmark, item, item_text, least, block_tokens):
         shared, tokens = docs.sparkSession.sparkContext.broadcast(index), Tokens()
 

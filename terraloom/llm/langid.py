@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, unit_hash
+from ._common import map_batches, small_batches, unit_hash
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LONGEST = 16  # characters of a piece
 _UNKNOWN = 1e-7  # of a character that is no piece, in every language
-_MOST_WORDS = 400_000
-_CELLS = 400_000
+_MOST_WORDS = 250_000
+_CELLS = 200_000
 MAX_LANGUAGES = 1000
 
 
@@ -190,7 +190,7 @@ class Scorer:
         return np.stack([self.table[np.fromiter(map(get, t), np.int64, len(t))].sum(axis=0, dtype=np.float64) for t in texts])
 
 
-def train(docs: DataFrame, path: str, *, learn: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 600, seed: int = 8) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, path: str, *, learn: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 400, seed: int = 8) -> tuple[list[str], np.ndarray]:
     """Fit on at most about ``max_docs`` hash-chosen documents a language; ``learn`` says which rows may be learnt from."""
     rows = docs.select(key, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows if learn is None else rows.where(learn)
@@ -257,4 +257,5 @@ def accept(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], *, t
                 good += [bool(w) and x >= least for w, x in zip(words, posterior.tolist())]
             yield batch.filter(pa.array(good, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, map_batches, written
+from ._common import WordHashes, map_batches, small_batches, written
 
 BANDS, ROWS = 36, 5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -306,6 +306,7 @@ def _pairs_of_components(sets_: list[np.ndarray], left: np.ndarray, right: np.nd
 def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """key, n_shingles, component_id, kept of every document."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    small_batches(docs.sparkSession)
     screen = max(0.0, percent / 100 - 0.2)
     sketched = written(sketch(docs, size, bands, rows), "sketch")
     classes = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))

@@ -61,7 +61,7 @@ class Columns(dict):
         return value
 
     def of(self, words: set[str]) -> np.ndarray:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         return np.unique(np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32))
 
