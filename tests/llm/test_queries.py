@@ -1,0 +1,57 @@
+"""The opN_ queries against their SQL, and the pipeline against its parts."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from terraloom.llm import decontam, near_dedup
+from terraloom.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_equals_sql(spark, name):
+    df = QUERIES[name](spark, SF)
+    db = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        db.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    result = db.execute(ORACLE_SQL[name])
+    names = [c[0] for c in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted([tuple(map(str, (r[c] for c in names))) for r in df.collect()]) == sorted([tuple(map(str, r)) for r in result.fetchall()])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"op10_decontam"}))
+def test_one_row_a_document(spark, name):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = QUERIES[name](spark, SF)
+    assert got.select("doc_id").exceptAll(docs.select("doc_id")).isEmpty() and got.count() == docs.count()
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    state = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, state, SF)
+        assert out.columns == docs.columns
+        if name == "near_duplicates":
+            kept = {r.doc_id for r in near_dedup.cluster(state, size=5).where("kept").collect()}
+            assert {r.doc_id for r in out.collect()} == kept
+        if name == "decontaminated":
+            leaks = {r.doc_id for r in decontam.leaks(state, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+            assert leaks and {r.doc_id for r in out.collect()} == {r.doc_id for r in state.collect()} - leaks
+        state = out
+    last = corpus_pipeline.run(spark, SF)
+    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
+    assert last.count() == state.count() and last.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_pipeline_on_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0
