@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import link_id, segments_cross, uniform
+from .ranks import numbered
 from .runtime import cut
 
 
@@ -58,7 +59,7 @@ def consistent(net: Network) -> DataFrame:
 
 def reindexed(net: Network, start: int = 0) -> Network:
     """Ids start, start + 1, ... in the order of old ids."""
-    names = net.nodes.select("id").distinct().withColumn("new", F.row_number().over(Window.orderBy("id")) - 1 + start)
+    names = numbered(net.nodes.select("id").distinct(), F.asc("id"), "new", start)
     nodes = net.nodes.join(names, "id").drop("id").withColumnRenamed("new", "id")
     ends = lambda c: names.select(F.col("id").alias(c), F.col("new").alias(f"n{c}"))
     links = net.links.join(ends("src"), "src").join(ends("dst"), "dst").drop("src", "dst").withColumnsRenamed({"nsrc": "src", "ndst": "dst"})
@@ -273,7 +274,7 @@ def planarised(net: Network, cell: float) -> Network:
     """Every link split at its crossings; other links stay. New nodes get ids above the old."""
     found = cut(crossings(net, cell))
     top = net.nodes.agg(F.max("id")).first()[0] or 0
-    points = cut(found.select("x", "y").distinct().withColumn("id", F.row_number().over(Window.orderBy("x", "y")).cast("long") + top).select("id", "x", "y"))
+    points = cut(numbered(found.select("x", "y").distinct(), F.struct("x", "y").asc(), "id", top + 1).select(F.col("id").cast("long").alias("id"), "x", "y"))
     hits = found.select(F.explode(F.array(F.struct(F.col("src1").alias("src"), F.col("dst1").alias("dst")), F.struct(F.col("src2").alias("src"), F.col("dst2").alias("dst")))).alias("l"), "x", "y").select("l.*", "x", "y").join(points, ["x", "y"])
     nodes = net.nodes.select("id", "x", "y").unionByName(points)
     ends = net.links.select("src", "dst", F.explode(F.array("src", "dst")).alias("id")).join(nodes, "id")
@@ -294,7 +295,7 @@ def connected(net: Network, rounds: int = 64) -> Network:
     import numpy as np
 
     for _ in range(rounds):
-        comp = cut(net.nodes.join(components(net), "id").select("id", "x", "y", F.dense_rank().over(Window.orderBy("component")).alias("c")))
+        comp = cut(net.nodes.join(components(net), "id").select("id", "x", "y", F.col("component").alias("c")))
         if comp.select("c").distinct().count() <= 1:
             break
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def real(df: DataFrame, *values: str) -> DataFrame:
     """The rows whose values are neither null nor NaN."""
@@ -38,8 +40,7 @@ def rank_size(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     come from counts of values, not from one sorted task of rows.
     """
     counted = real(df, value).where(F.col(value) > 0).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)) if by else F.sum("n").over(Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counted.withColumn("before", F.coalesce(before, F.lit(0)))
+    ranked = running(counted, by, F.desc("v"), ["n"]).withColumn("before", F.col("n_upto") - F.col("n"))
     rows = ranked.select(*by, F.ln("v").alias("y"), F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("rank"))
     return rows.groupBy(*by).agg(F.regr_slope("y", F.ln("rank")).alias("slope"), F.regr_r2("y", F.ln("rank")).alias("r2"))
 
@@ -58,9 +59,7 @@ def histogram(df: DataFrame, value: str, breaks: int) -> DataFrame:
 def quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """Quantile at position q (n + 1), interpolated; clipped to the extremes."""
     counted = real(df, value).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    over = Window.partitionBy(*by).orderBy("v") if by else Window.orderBy("v")
-    total = F.sum("n").over(Window.partitionBy(*by))
-    rows = counted.withColumns({"upto": F.sum("n").over(over), "total": total})
+    rows = running(counted, by, F.asc("v"), ["n"]).withColumnsRenamed({"n_upto": "upto", "n_total": "total"})
     at = F.least(F.greatest(F.lit(q) * (F.col("total") + 1), F.lit(1.0)), F.col("total").cast("double"))
     rows = rows.withColumns({"lo": F.floor(at), "hi": F.ceil(at), "part": at - F.floor(at)})
     pick = lambda k: F.min(F.when(F.col("upto") >= F.col(k), F.col("v")))
@@ -70,8 +69,7 @@ def quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = ()) -> Dat
 def gini(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Gini coefficient by ranks: n log n, no pairs."""
     counted = real(df, value).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    over = (Window.partitionBy(*by).orderBy("v") if by else Window.orderBy("v")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = counted.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0)))
+    rows = running(counted, by, F.asc("v"), ["n"]).withColumn("before", F.col("n_upto") - F.col("n"))
     ranks = F.col("n") * F.col("before") + F.col("n") * (F.col("n") + 1) / 2  # sum of the ranks of equal values
     parts = rows.groupBy(*by).agg(F.sum(ranks * F.col("v")).alias("s"), F.sum(F.col("n") * F.col("v")).alias("t"), F.sum("n").alias("k"))
     return parts.select(*by, (2 * F.col("s") / (F.col("k") * F.col("t")) - (F.col("k") + 1) / F.col("k")).alias("gini"))
@@ -81,8 +79,8 @@ def ks_distance(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """Kolmogorov-Smirnov distance of two samples, from counts of distinct values."""
     both = a.select(F.col(value).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionAll(b.select(F.col(value).alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y")))
     counts = both.groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    run = lambda c: F.sum(c).over(Window.orderBy("v")) / F.sum(c).over(Window.partitionBy())
-    return counts.select(F.abs(run("x") - run("y")).alias("d")).agg(F.max("d").alias("ks"))
+    rows = running(counts, (), F.asc("v"), ["x", "y"])
+    return rows.select(F.abs(F.col("x_upto") / F.col("x_total") - F.col("y_upto") / F.col("y_total")).alias("d")).agg(F.max("d").alias("ks"))
 
 
 def cumulative(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
