@@ -29,7 +29,8 @@ from ._common import map_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this code point the character classes of all Unicode versions in use agree.
 _SETTLED = re.compile("[^\x00-ԯ]")
-_MOST_WORDS = 300_000
+_MOST_WORDS = 500_000
+_TOGETHER = 1_000_000
 _MOST_PAIRS = 500_000
 _NONE = 1 << 60
 
@@ -66,6 +67,10 @@ class ByteBPE:
             self.ranks.setdefault(self.ids[a] << 32 | self.ids[b], rank)
             self.merged.append(self.ids[a + b])
         self.single = [self.ids[bytes([b])] for b in range(256)]
+        order = sorted(self.ranks.items())
+        self.pair_keys = np.array([k for k, _ in order], np.int64)
+        self.pair_ranks = np.array([r for _, r in order] + [_NONE], np.int64)
+        self.merged_ids = np.array(self.merged, np.int64)
         self.words: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.special_split = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
@@ -110,6 +115,56 @@ class ByteBPE:
                     heapq.heappush(heap, (self.ranks[key], left, ids[left], ids[right]))
         return [i for i, x in zip(ids, alive) if x]
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], _NONE)
+
+    def merge_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Exact merging of many words at once: in each step every word that still can merges its first pair of lowest rank."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for k in np.flatnonzero(lengths > 48).tolist():
+            out[k] = tuple(self.merge(words[k]))
+        order = np.flatnonzero((lengths > 0) & (lengths <= 48))
+        order = order[np.argsort(lengths[order], kind="stable")]
+        single = np.array(self.single, np.int64)
+        for part in np.array_split(order, max(1, len(order) // 2000)):
+            if not len(part):
+                continue
+            width = int(lengths[part].max())
+            inside = np.arange(width) < lengths[part][:, None]
+            ids = np.full((len(part), width), -1, np.int64)
+            ids[inside] = single[np.frombuffer(b"".join(words[k] for k in part), np.uint8)]
+            ranks = np.full((len(part), width), _NONE, np.int64)
+            ranks[:, :-1] = self._rank(ids[:, :-1], ids[:, 1:])
+            final = ids.copy()
+            live, columns = np.arange(len(part)), np.arange(width)
+            while True:
+                at = ranks.argmin(axis=1)
+                best = ranks[np.arange(len(at)), at]
+                more = best != _NONE
+                if not more.all():
+                    final[live[~more]] = ids[~more]
+                    live, ids, ranks, at, best = live[more], ids[more], ranks[more], at[more], best[more]
+                if not len(live):
+                    break
+                rows = np.arange(len(live))
+                ids[rows, at] = self.merged_ids[best]
+                shift = np.minimum(columns + (columns > at[:, None]), width - 1)
+                ids = np.take_along_axis(ids, shift, axis=1)
+                ids[:, -1] = -1
+                ranks = np.take_along_axis(ranks, np.minimum(columns + (columns >= at[:, None]), width - 1), axis=1)
+                ranks[:, -1] = _NONE
+                after = ids[rows, np.minimum(at + 1, width - 1)]
+                ranks[rows, at] = np.where(at + 1 < width, self._rank(ids[rows, at], after), _NONE)
+                before = np.maximum(at - 1, 0)
+                ranks[rows, before] = np.where(at > 0, self._rank(ids[rows, before], ids[rows, at]), ranks[rows, before])
+            for k, row in zip(part.tolist(), final.tolist()):
+                out[k] = tuple(row[: row.index(-1)] if row[-1] < 0 else row)
+        return out
+
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
         out, at, n, ids, longest = [], 0, len(word), self.ids, self.longest
@@ -134,18 +189,16 @@ class ByteBPE:
         if len(self.pairs) > _MOST_PAIRS:
             self.pairs.clear()
         known = self.pairs
-        good = np.empty(len(unique), bool)
-        for k, key in enumerate(unique.tolist()):
-            ok = known.get(key)
-            if ok is None:
-                a, b = key >> 32, key & 0xFFFFFFFF
-                ok = known[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-            good[k] = ok
+        fresh = [key for key in unique.tolist() if key not in known]
+        joined = self.merge_many([self.bytes_of[key >> 32] + self.bytes_of[key & 0xFFFFFFFF] for key in fresh])
+        known.update((key, merged == (key >> 32, key & 0xFFFFFFFF)) for key, merged in zip(fresh, joined))
+        good = np.fromiter((known[key] for key in unique.tolist()), bool, len(unique))
         failed = np.zeros(len(words), bool)
         failed[owner[1:][inside][~good[where]]] = True
         failed |= lengths == 0
-        for w, r, p, f in zip(words, raw, proposed, failed.tolist()):
-            self.words[w] = tuple(self.merge(r) if f else p)
+        self.words.update((words[k], tuple(proposed[k])) for k in np.flatnonzero(~failed).tolist())
+        again = np.flatnonzero(failed).tolist()
+        self.words.update(zip([words[k] for k in again], self.merge_many([raw[k] for k in again])))
         self.exact_words += int(failed.sum())
 
     def pieces(self, text: str) -> list[str]:
@@ -156,23 +209,41 @@ class ByteBPE:
             return [text[a:b] for _, (a, b) in splitter.pre_tokenize_str(text)]
         return self.split_words(text)
 
-    def encode_words(self, words: list[str]) -> list[int]:
-        if len(self.words) > _MOST_WORDS:
-            self.words.clear()
-        new = set(words).difference(self.words)
+    def know(self, words: set[str]) -> None:
+        """Have all these words in the table; of a full table only the words just asked for are kept."""
+        new = list(words.difference(self.words))
+        if len(self.words) + len(new) > _MOST_WORDS:
+            self.words = {w: self.words[w] for w in words if w in self.words}
         if new:
-            self.learn(list(new))
-        return list(chain.from_iterable(map(self.words.__getitem__, words)))
+            self.learn(new)
 
-    def encode(self, text: str) -> list[int]:
+    def split(self, text: str) -> list[list[str] | int]:
+        """The text's stretches of words, and the special tokens between them."""
         if not any(s in text for s in self.specials):
-            return self.encode_words(self.pieces(text))
+            return [self.pieces(text)]
         out, at = [], 0
         for m in self.special_split.finditer(text):
-            out += self.encode_words(self.pieces(text[at : m.start()]))
-            out.append(self.specials[m[0]])
+            out += [self.pieces(text[at : m.start()]), self.specials[m[0]]]
             at = m.end()
-        return out + self.encode_words(self.pieces(text[at:]))
+        return [*out, self.pieces(text[at:])]
+
+    def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
+        """Encode texts; the new words of up to _TOGETHER characters of texts are learnt together."""
+        at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= _TOGETHER):
+                size += len(texts[stop])
+                stop += 1
+            parts = [self.split(t) for t in texts[at:stop]]
+            self.know(set(chain.from_iterable(p for part in parts for p in part if not isinstance(p, int))))
+            get = self.words.__getitem__
+            for part in parts:
+                yield list(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(get, p)) for p in part))
+            at = stop
+
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_many([text]))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -190,7 +261,7 @@ def encode(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         bpe = load(path)
-        rows = [bpe.encode(t or "") for t in batch.column(len(keep)).to_pylist()]
+        rows = list(bpe.encode_many([t or "" for t in batch.column(len(keep)).to_pylist()]))
         yield {c: batch.column(k) for k, c in enumerate(keep)} | {"ids": rows, "decoded": [bpe.decode(r) for r in rows]}
 
     return map_batches(df.select(*keep, text), run, f"{schema}{', ' * bool(schema)}ids array<int>, decoded string")
@@ -202,8 +273,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         bpe = load(path)
         n, hashed, decoded = [], [], []
-        for t in batch.column(1):
-            ids = bpe.encode(t.as_py() or "")
+        for ids in bpe.encode_many([t or "" for t in batch.column(1).to_pylist()]):
             n.append(len(ids))
             hashed.append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
             decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
