@@ -353,3 +353,70 @@ def rasterised(net: Network, resolution: float, width: float = 1.0) -> DataFrame
     x, y = F.col("srcx") + (F.col("dstx") - F.col("srcx")) * F.col("k") / F.col("n"), F.col("srcy") + (F.col("dsty") - F.col("srcy")) * F.col("k") / F.col("n")
     on = walked.select(F.floor(x / resolution).cast("int").alias("i"), F.floor(y / resolution).cast("int").alias("j"), around.alias("o"))
     return on.select(F.lit(0).alias("grid_id"), (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), F.lit(1.0).alias("v")).distinct()
+
+
+# -- stations, isolated nodes, coarse graining ---------------------------------------------------------------------
+
+
+def nearest_links(points: DataFrame, net: Network, cell: float) -> DataFrame:
+    """For each point (id, x, y) the nearest link within ``cell``: id, src, dst, px, py, distance; points without one are left out.
+
+    Links are dealt to all cells that their bounds touch, points to the nine cells around them.
+    """
+    from ..functions.columns import project_on_segment
+
+    at = lambda c: net.nodes.select(F.col("id").alias(c), F.col("x").alias(f"{c}_x"), F.col("y").alias(f"{c}_y"))
+    tiles = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
+    rows = net.links.select("src", "dst").join(at("src"), "src").join(at("dst"), "dst").withColumn("tx", F.explode(tiles("src_x", "dst_x"))).withColumn("ty", F.explode(tiles("src_y", "dst_y")))
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    seek = points.select("id", "x", "y", F.floor(F.col("x") / cell).alias("u"), F.floor(F.col("y") / cell).alias("w")).withColumn("o", around)
+    seek = seek.select("id", "x", "y", (F.col("u") + F.col("o.a")).alias("tx"), (F.col("w") + F.col("o.b")).alias("ty"))
+    px, py = project_on_segment(F.col("x"), F.col("y"), *[F.col(c) for c in ("src_x", "src_y", "dst_x", "dst_y")])
+    near = seek.join(rows, ["tx", "ty"]).withColumns({"px": px, "py": py})
+    d = F.sqrt(F.pow(F.col("x") - F.col("px"), F.lit(2.0)) + F.pow(F.col("y") - F.col("py"), F.lit(2.0)))
+    best = near.where(d <= cell).groupBy("id").agg(F.min(F.struct(d.alias("distance"), "src", "dst", "px", "py")).alias("m"))
+    return best.select("id", "m.src", "m.dst", "m.px", "m.py", "m.distance")
+
+
+def with_stations(net: Network, stations: DataFrame) -> DataFrame:
+    """station, node, distance: the nearest node of every station (id, x, y)."""
+    from .points import nearest
+
+    return nearest(stations, net.nodes).withColumnsRenamed({"id": "station", "nearest": "node"})
+
+
+def connect_isolated(net: Network, cell: float) -> Network:
+    """Nodes without links are tied to their nearest link within ``cell``, which is split at their projections."""
+    lonely = net.nodes.join(net.links.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_anti")
+    found = cut(nearest_links(lonely, net, cell))
+    top = net.nodes.agg(F.max("id")).first()[0] or 0
+    feet = cut(numbered(found.select("src", "dst", "px", "py").distinct(), F.struct("src", "dst", "px", "py").asc(), "foot", top + 1).select(F.col("foot").cast("long").alias("foot"), "src", "dst", "px", "py"))
+    nodes = net.nodes.select("id", "x", "y").unionByName(feet.select(F.col("foot").alias("id"), F.col("px").alias("x"), F.col("py").alias("y")))
+    ties = found.join(feet, ["src", "dst", "px", "py"]).select(F.col("id").alias("src"), F.col("foot").alias("dst"), F.lit(1.0).alias("weight"), F.col("distance").alias("length"))
+    hit = feet.select("src", "dst").distinct()
+    whole = net.links.join(hit, ["src", "dst"], "left_anti").select("src", "dst", "weight", "length")
+    at = nodes.select("id", "x", "y")
+    on = net.links.join(hit, ["src", "dst"], "left_semi").select("src", "dst", "weight", F.explode(F.array("src", "dst")).alias("id")).unionByName(feet.join(net.links.select("src", "dst", "weight"), ["src", "dst"]).select("src", "dst", "weight", F.col("foot").alias("id"))).join(at, "id")
+    start = at.select(F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    along = Window.partitionBy("src", "dst").orderBy(F.pow(F.col("x") - F.col("sx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("sy"), F.lit(2.0)), "id")
+    parts = on.join(start, "src").withColumns({"to": F.lead("id").over(along), "tx": F.lead("x").over(along), "ty": F.lead("y").over(along)}).where("to IS NOT NULL")
+    length = F.sqrt(F.pow(F.col("x") - F.col("tx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("ty"), F.lit(2.0)))
+    pieces = parts.select(F.least("id", "to").alias("src"), F.greatest("id", "to").alias("dst"), "weight", length.alias("length"))
+    return net.with_(nodes=nodes, links=whole.unionByName(pieces).unionByName(ties))
+
+
+def coarse_grained(net: Network, polygons: DataFrame, cell: float, *, cost: str = "length") -> Network:
+    """One node a polygon (its mean node), links between polygons that a link joins; the cost is the least path between their nearest nodes to the mean."""
+    from .spatial import points_in_polygons
+
+    inside = cut(points_in_polygons(net.nodes, polygons, cell).withColumnsRenamed({"point": "id", "polygon": "p"}))
+    mean = inside.join(net.nodes, "id").groupBy("p").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    gap = F.pow(F.col("nx") - F.col("x"), F.lit(2.0)) + F.pow(F.col("ny") - F.col("y"), F.lit(2.0))
+    own = net.nodes.select("id", F.col("x").alias("nx"), F.col("y").alias("ny")).join(inside, "id").join(mean, "p")
+    centre = cut(own.groupBy("p").agg(F.min(F.struct(gap.alias("g"), "id")).alias("m")).select("p", F.col("m.id").alias("id")))
+    side = lambda c: inside.select(F.col("id").alias(c), F.col("p").alias(f"{c}_p"))
+    joined = net.links.join(side("src"), "src").join(side("dst"), "dst").where("src_p <> dst_p").select(F.least("src_p", "dst_p").alias("a"), F.greatest("src_p", "dst_p").alias("b")).distinct()
+    paths = shortest_paths(net, centre.select("id"), cost=cost)
+    ends = lambda p, c: centre.select(F.col("p").alias(p), F.col("id").alias(c))
+    links = joined.join(ends("a", "src"), "a").join(ends("b", "dst"), "b").join(paths, ["src", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight"), F.col("dist").alias("length"))
+    return Network(mean.withColumnRenamed("p", "id"), links)

@@ -41,3 +41,46 @@ def xml_lines(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     way = F.concat(F.format_string('<way id="%d" version="%d">', "id", "version"), refs, tags, F.lit("</way>"))
     ends = nodes.sparkSession.createDataFrame([(0, '<?xml version="1.0" encoding="UTF-8"?>\n<osm version="0.6">'), (3, "</osm>")], "part int, value string")
     return ends.unionByName(nodes.select(F.lit(1).alias("part"), node.alias("value"))).unionByName(ways.select(F.lit(2).alias("part"), way.alias("value")))
+
+
+def in_box(nodes: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    return nodes.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+
+
+def tag_matches(df: DataFrame, key: str, pattern: str) -> DataFrame:
+    """Objects whose tag matches a regular expression of alternatives."""
+    return df.where(F.rlike(F.element_at("tags", key), F.lit(f"^(?:{pattern})$")))
+
+
+def without(nodes: DataFrame, ways: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes removed by id, and with them from the ways' references; ways left with under two nodes go."""
+    ids = gone.select(F.col("id").alias("ref")).distinct()
+    parts = ways.select("id", F.posexplode("node_refs").alias("k", "ref")).join(ids, "ref", "left_anti")
+    left = parts.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "ref"))), lambda s: s["ref"]).alias("node_refs"))
+    return nodes.join(ids.withColumnRenamed("ref", "id"), "id", "left_anti"), ways.drop("node_refs").join(left, "id").where(F.size("node_refs") > 1)
+
+
+def multipolygons(relations: DataFrame, ways: DataFrame) -> DataFrame:
+    """relation, role, refs: closed rings assembled from the way members of multipolygon relations; pieces are joined end to end, one task a relation's members."""
+    import pyarrow as pa
+
+    members = relations.where(F.element_at("tags", "type") == "multipolygon").select(F.col("id").alias("relation"), F.explode("members").alias("m")).where("m.type = 'way'").select("relation", F.col("m.ref").alias("id"), F.when(F.col("m.role") == "inner", "inner").otherwise("outer").alias("role"))
+    parts = members.join(ways.select("id", "node_refs"), "id")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        pieces = [list(p) for p in table.sort_by("id")["node_refs"].to_pylist() if len(p) > 1]
+        rings = [p for p in pieces if p[0] == p[-1]]
+        open_ = [p for p in pieces if p[0] != p[-1]]
+        while open_:
+            ring = open_.pop(0)
+            while ring[0] != ring[-1]:
+                hit = next((k for k, p in enumerate(open_) if ring[-1] in (p[0], p[-1])), None)
+                if hit is None:
+                    break
+                p = open_.pop(hit)
+                ring += p[1:] if p[0] == ring[-1] else p[-2::-1]
+            if ring[0] == ring[-1]:
+                rings.append(ring)
+        return pa.table({"relation": pa.array([key[0].as_py()] * len(rings), pa.int64()), "role": pa.array([key[1].as_py()] * len(rings), pa.string()), "refs": pa.array(rings, pa.list_(pa.int64()))})
+
+    return parts.groupBy("relation", "role").applyInArrow(run, "relation long, role string, refs array<long>")

@@ -177,3 +177,14 @@ def polygons_of(geometries: DataFrame) -> DataFrame:
     """Outer rings as (ring, attrs): the first part of a multi-polygon; other kinds raise."""
     bad = F.raise_error(F.concat(F.lit("not a polygon: "), F.col("kind"))).cast(COORDS)
     return geometries.select(F.when(F.col("kind").isin("Polygon", "MultiPolygon"), F.element_at("parts", 1)).otherwise(bad).alias("ring"), "attrs")
+
+
+def read_layer(spark: SparkSession, path: str, attributes: Sequence[str] | None = None, table: str | None = None) -> DataFrame:
+    """A vector layer by its file's ending: shapefile or GeoPackage."""
+    ending = path.rsplit(".", 1)[-1].lower()
+    if ending == "gpkg":
+        return read_geopackage(spark, path, table or Path(path).stem, attributes or ())
+    if ending == "shp":
+        folder, _, name = path.rpartition("/")
+        return read_shapefile(spark, f"{folder}/{name[:-4]}.*", attributes)
+    raise ValueError(f"no reader for .{ending} layers")
