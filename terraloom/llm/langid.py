@@ -30,7 +30,7 @@ from ._common import map_batches, small_batches, unit_hash
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LONGEST = 16  # characters of a piece
 _UNKNOWN = 1e-7  # of a character that is no piece, in every language
-_MOST_WORDS = 250_000
+_MOST_WORDS = 350_000
 _CELLS = 200_000
 MAX_LANGUAGES = 1000
 
@@ -51,26 +51,43 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
+_tries: dict[int, tuple[dict[str, int], dict[str, int]]] = {}
+
+
+def _trie(vocab: dict[str, int]) -> dict[str, int]:
+    """Every prefix of a piece: the piece's number, or -1 if the prefix is none."""
+    if id(vocab) not in _tries:
+        if len(_tries) > 3:
+            _tries.clear()
+        prefixes = {piece[:k]: -1 for piece in vocab for k in range(1, len(piece))}
+        _tries[id(vocab)] = vocab, prefixes | vocab
+    return _tries[id(vocab)][1]
+
+
 def _edges(words: list[str], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """word, start, end, piece of every occurrence of a piece; characters without a piece get the piece after the last."""
-    get, none = vocab.get, len(vocab)
+    get, none = _trie(vocab).get, len(vocab)
     w, s, e, p = [], [], [], []
     for k, word in enumerate(words):
         n = len(word)
         for start in range(n):
-            alone = True
-            for end in range(start + 1, min(n, start + _LONGEST) + 1):
-                if (piece := get(word[start:end])) is not None:
-                    w.append(k)
-                    s.append(start)
-                    e.append(end)
-                    p.append(piece)
-                    alone = alone and end > start + 1
-            if alone:
+            single = get(word[start])
+            if single is None or single < 0:
                 w.append(k)
                 s.append(start)
                 e.append(start + 1)
                 p.append(none)
+                if single is None:
+                    continue
+            for end in range(start + 1, n + 1):
+                piece = get(word[start:end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    w.append(k)
+                    s.append(start)
+                    e.append(end)
+                    p.append(piece)
     return tuple(np.array(x, np.int64) for x in (w, s, e, p))
 
 
