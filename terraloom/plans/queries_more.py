@@ -28,7 +28,7 @@ def net_coarse_grained(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def net_connected_isolated(spark: SparkSession, d: str) -> DataFrame:
     net = t.network(spark, d)
-    more = t.points(spark, d).where("id <= 20").select((F.col("id") + 1000).alias("id"), "x", "y")
+    more = t.points(spark, d).select((F.col("id") + 1000).alias("id"), "x", "y")
     return network.connect_isolated(net.with_(nodes=net.nodes.unionByName(more)), 0.5).links
 
 

@@ -96,10 +96,10 @@ def log_mse_years(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT l_orderkey, l_linenumber, round(floor(l_extendedprice * 10) / 10, 1) cut, round(power(2 * (l_quantity - l_tax) / (l_quantity + l_tax), 2), 6) rel,
 CAST(CAST(floor(l_quantity / 3) AS INT) AS VARCHAR) || ':' || CAST(CAST(floor((l_quantity / 3 - floor(l_quantity / 3)) * 60) AS INT) AS VARCHAR) || ':' ||
 CAST(CAST(floor(((l_quantity / 3 - floor(l_quantity / 3)) * 60 - floor((l_quantity / 3 - floor(l_quantity / 3)) * 60)) * 60) AS INT) AS VARCHAR) clock,
-round(exp(-l_quantity / 20), 6) cost, round(-20 * ln(exp(-l_quantity / 20)), 6) back FROM lineitem WHERE l_linenumber = 1""")
+round(exp(-l_quantity / 20), 6) cost, round(-20 * ln(exp(-l_quantity / 20)), 6) back FROM lineitem""")
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("l_quantity")
-    rows = t.table(spark, d, "lineitem").where("l_linenumber = 1")
+    rows = t.table(spark, d, "lineitem")
     cost = fn.exp_cost(q, 20)
     return rows.select("l_orderkey", "l_linenumber", F.round(fn.digits(F.col("l_extendedprice"), 1), 1).alias("cut"), r(fn.rel_square(q, F.col("l_tax")), "rel"), fn.clock(q / 3).alias("clock"), r(cost, "cost"), r(fn.exp_cost_inverse(cost, 20), "back"))
 

@@ -41,12 +41,12 @@ def _hashed(key: str, factor: int) -> Column:
     return (F.col(key).cast("long") * factor % 1000).cast("double") / 1000.0
 
 
-POINTS = "points AS (SELECT CAST(s_suppkey AS BIGINT) id, CAST(s_suppkey * 7919 % 1000 AS DOUBLE) / 1000 x, CAST(s_suppkey * 104729 % 1000 AS DOUBLE) / 1000 y, s_acctbal v FROM supplier WHERE s_suppkey <= 200)"
+POINTS = "points AS (SELECT CAST(s_suppkey AS BIGINT) id, CAST(s_suppkey * 7919 % 1000 AS DOUBLE) / 1000 x, CAST(s_suppkey * 104729 % 1000 AS DOUBLE) / 1000 y, s_acctbal v FROM supplier)"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as points of the unit square; 200 at most, the size of the study area's pattern at every scale factor."""
-    return table(spark, sf_dir, "supplier").where("s_suppkey <= 200").select(F.col("s_suppkey").cast("long").alias("id"), _hashed("s_suppkey", 7919).alias("x"), _hashed("s_suppkey", 104729).alias("y"), F.col("s_acctbal").alias("v"))
+    """Suppliers as points of the unit square."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), _hashed("s_suppkey", 7919).alias("x"), _hashed("s_suppkey", 104729).alias("y"), F.col("s_acctbal").alias("v"))
 
 
 ZONES = "zones AS (SELECT n_nationkey city, CAST(n_nationkey * 7919 % 1000 AS DOUBLE) / 1000 x, CAST(n_nationkey * 104729 % 1000 AS DOUBLE) / 1000 y FROM nation)"
