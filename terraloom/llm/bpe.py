@@ -23,13 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import map_batches
+from ._common import map_batches, settle
 
 #: The pre-tokenization pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this code point the character classes of all Unicode versions in use agree.
 _SETTLED = re.compile("[^\x00-ԯ]")
-_MOST_WORDS = 500_000
+_MOST_WORDS = 400_000
 _TOGETHER = 1_000_000
 _MOST_PAIRS = 500_000
 _NONE = 1 << 60
@@ -245,6 +245,10 @@ class ByteBPE:
     def encode(self, text: str) -> list[int]:
         return next(self.encode_many([text]))
 
+    def forget(self) -> None:
+        self.words, self.pairs = {}, {}
+        settle()
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -264,7 +268,7 @@ def encode(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...
         rows = list(bpe.encode_many([t or "" for t in batch.column(len(keep)).to_pylist()]))
         yield {c: batch.column(k) for k, c in enumerate(keep)} | {"ids": rows, "decoded": [bpe.decode(r) for r in rows]}
 
-    return map_batches(df.select(*keep, text), run, f"{schema}{', ' * bool(schema)}ids array<int>, decoded string")
+    return map_batches(df.select(*keep, text), run, f"{schema}{', ' * bool(schema)}ids array<int>, decoded string", lambda: load(path).forget())
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
@@ -279,4 +283,4 @@ def digests(df: DataFrame, path: str) -> DataFrame:
             decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
         yield {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": hashed, "decoded_sha256": decoded}
 
-    return map_batches(df.select("doc_id", "text"), run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(df.select("doc_id", "text"), run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: load(path).forget())

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from ._common import map_batches, small_batches
+from ._common import map_batches, settle, small_batches
 
 #: The positions that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4, 5, 6), (0, 1, 2, 4, 7, 9, 10), (0, 1, 3, 5, 6, 8, 10), (0, 2, 3, 6, 7, 8, 10))
@@ -128,7 +128,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
             if rows:
                 yield dict(zip((key, item, "first_token", "n_tokens", "n_equal"), zip(*rows)))
 
-        out = out.unionByName(map_batches(docs.select(key, text), run, names))
+        out = out.unionByName(map_batches(docs.select(key, text), run, names, lambda tokens=tokens: settle(tokens)))
     return out
 
 
@@ -143,6 +143,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: s
             for batch in batches:
                 clean = [not shared.value.leaks(tokens.of(t.as_py()), overlap, share) for t in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
+            settle(tokens)
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, small_batches, unit_hash
+from ._common import map_batches, settle, small_batches, unit_hash
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LONGEST = 16  # characters of a piece
@@ -253,7 +253,7 @@ def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], *,
         yield kept | {"lang_pred": best, "score": score}
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(docs.select(*keep, text), run, f"{schema}{', ' * bool(schema)}lang_pred string, score double")
+    return map_batches(docs.select(*keep, text), run, f"{schema}{', ' * bool(schema)}lang_pred string, score double", lambda: settle(state))
 
 
 def accept(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], *, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -273,6 +273,7 @@ def accept(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], *, t
                 posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                 good += [bool(w) and x >= least for w, x in zip(words, posterior.tolist())]
             yield batch.filter(pa.array(good, pa.bool_()))
+        settle(state)
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, map_batches, small_batches, written
+from ._common import WordHashes, map_batches, settle, small_batches, written
 
 BANDS, ROWS = 36, 5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +100,7 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             keys.append(family.keys(full) if len(own) else None)
         yield {"doc_id": batch.column(0), "n": n, "set_hash": name, "signature": signature, "keys": keys}
 
-    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, set_hash binary, signature binary, keys array<long>")
+    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, set_hash binary, signature binary, keys array<long>", lambda: settle(_hashes))
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -130,7 +130,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             yield {"doc_id": part.column(0), "shingles": [x.tobytes() for x in own]}
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    found = map_batches(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles binary")
+    found = map_batches(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles binary", lambda: settle(_hashes))
     return found.where(F.octet_length("shingles") > 0).join(ids, "doc_id", "left_semi")
 
 
