@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=1)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, the libraries they stand for, and hand-made edge cases."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -436,5 +437,36 @@ def test_leaks(spark, odd, none):
     assert decontam.remove(odd, b).columns == odd.columns
 
 
+def test_every_admitted_pattern_is_hit():
+    for n in range(1, 14):
+        wrong = n - int(np.ceil(0.8 * n))
+        item = np.array([k + 1 for k in range(n)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        index = decontam.Index([("i", item)], 13, 0.8)
+        texts = []
+        for c in (c for m in range(wrong + 1) for c in itertools.combinations(range(n), m)):
+            texts.append(item.copy())
+            texts[-1][list(c)] = np.arange(900, 900 + len(c), dtype=np.uint64)
+        for got in (index.leaks(texts), [index.leaks([t])[0] for t in texts]):
+            assert [(f[0][0], f[0][3] >= n - wrong) for f in got] == [("i", True)] * len(texts)
+        over = item.copy()
+        over[: wrong + 1] = 7
+        assert index.leaks([over, item[:0], item[:-1]]) == [[], [], []]
+
+
+def test_short_items_and_substitutions_leak(spark):
+    r = random.Random(16)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (*range(1, 14), 15, 16)]
+    rows = []
+    for k in range(600):
+        part = items[k % len(items)][1].split()
+        for j in r.sample(range(len(part)), min(len(part), r.randrange(5))):
+            part[j] = "sub"
+        rows.append((k, " ".join(["pad"] * r.randrange(3) + part + ["end"] * r.randrange(3))))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.leaks(d, b, least=1).collect()}
+    assert got == brute_leaks(rows, items, least=1) and {i for _, i in got} == {i for i, _ in items}
+    assert {x.doc_id for x in decontam.remove(d, b, least=1).collect()} == {k for k, _ in rows} - {k for k, _ in got}
+
+
 def test_nothing_but_the_tokenizer_files_is_read():
     assert json.load(open(BPE))["model"]["type"] == "BPE"
