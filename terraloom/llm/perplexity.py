@@ -1,14 +1,17 @@
-"""Quality rules: base rules, and perplexity under an n-gram model with language-specific bands.
+"""Quality rules: base rules, and perplexity under n-gram models with language-specific bands.
 
-The model is a modified Kneser-Ney model of order 4 over 32 character classes (white space, the 26 letters, digits,
-other signs, three classes of further letters). Spark counts the 4-grams of all documents: every task counts its own
-texts into a dense array and sends the non-zero entries, which are summed by 4-gram. There are at most 32^4 = 1,048,576
-of them, whatever the corpus, so the driver can hold them and derive continuation counts, discounts and probabilities.
-The model travels as sorted arrays of n-gram codes with their log-probabilities and back-off weights (under 16 MB), which a worker expands once.
+Two models judge a text. Word trigrams of its language, counted over all other documents (:mod:`word_model`), give the
+``perplexity``: the exponential of the mean negative log-probability of its words and its end. What is counted grows with
+the corpus, in hash ranges that stay on the executors and on disk. Below the words stands a modified Kneser-Ney model
+of order 4 over 32 character classes (white space, the 26 letters, digits, other signs, three classes of further
+letters), one for all languages: it spells words that no other document holds, and judges how a text is spelled. It has a
+fixed size: at most 32^4 = 1,048,576 entries, whatever the corpus, so the driver can hold them and derive continuation
+counts, discounts and probabilities. It travels as sorted arrays (under 16 MB), which a worker expands once.
 
-A text's perplexity is the exponential of its mean negative log-probability. Per language, all documents that pass the
-base rules give a histogram of log-perplexities (bins of 0.005); its quartiles give the band: the median plus and minus
-``width`` robust standard deviations, and a further ``slack`` / sqrt(characters) for the noise of short texts. Texts outside their language's band are rejected.
+Bands: per language, all documents that pass the base rules give a histogram of each log-perplexity (bins of 0.005). The
+characters' has two sides: the median plus and minus ``width`` robust standard deviations. The words' has an upper side
+alone, from the deviation of its upper half, for words are easy where other documents hold the same passage, which is
+repetition and no lack of quality. A further ``slack`` / sqrt(characters) allows for the noise of short texts. Texts outside are rejected.
 
 Cases: a null text has no words; texts without a word fail the base rules; a null language is a language of its own; a language with
 under ``least`` documents has no band of its own and takes that of all documents; repeated rows count and are judged
@@ -25,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_batches, written
+from . import word_model
+from ._common import written
 
 CLASSES, ORDER = 32, 4
 #: The symbols that the base rules count.
@@ -147,55 +151,59 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def measure(docs: DataFrame, model: list, *, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """The ``keep`` columns, the base counts, base_failed, and log_ppl (null without a word). No shuffle."""
+def measure(docs: DataFrame, model: list, *, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """doc_id, lang, the base counts, base_failed; log_ppl of words and char_ppl, the same of characters (null without a word)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     state: dict[str, np.ndarray] = {}
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+    def char_logs(value: str) -> np.ndarray:
         if "table" not in state:
             state["table"] = expand(shared.value)
-        table, rows = state["table"], []
-        for t in batch.column(len(keep)):
-            value = t.as_py() or ""
-            found = base_counts(value)
-            rows.append((*found, float(-table[codes(value)].mean(dtype=np.float64)) if found[0] else None))
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl")
-        yield {c: batch.column(k) for k, c in enumerate(keep)} | dict(zip(names, zip(*rows))) if rows else {c: batch.column(k) for k, c in enumerate(keep)} | {c: [] for c in names}
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    found = map_batches(docs.select(*keep, text), run, f"{schema}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double")
+        return state["table"][codes(value)]
+
+    def row(value: str | None) -> tuple:
+        found = base_counts(value or "")
+        return *found, float(-char_logs(value).mean(dtype=np.float64)) if found[0] else None
+
+    columns = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_ppl double"
+    found = word_model.score(docs, char_logs, row, columns, text=text, lang=lang, key=key)
+    found = found.withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("log_prob") / (F.col("n_words") + 1))).drop("log_prob")
     return found.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
 def bands(measured: DataFrame, *, lang: str = "lang", width: float = 4.0, least: int = 50) -> DataFrame:
-    """lang, low, high: the band of log-perplexity of each language, from the quartiles of a histogram of all documents."""
-    binned = measured.where(~F.col("base_failed")).groupBy(F.col(lang).alias("lang"), F.floor(F.col("log_ppl") / BIN).alias("bin")).agg(F.count("*").alias("n"))
-    everyone = binned.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("every"), "bin", "n")
-    rows = binned.select(F.col("lang").cast("string").alias("lang"), F.lit(False).alias("every"), "bin", "n").unionByName(everyone)
-    upto = F.sum("n").over(Window.partitionBy("lang", "every").orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy("lang", "every"))
+    """measure, lang, low, high: the band of each log-perplexity in each language, from the quartiles of a histogram of all documents."""
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("log_ppl", "char_ppl")]))
+    values = measured.where(~F.col("base_failed")).select(F.col(lang).cast("string").alias("lang"), both.alias("_v")).select("lang", "_v.*")
+    binned = values.groupBy("measure", "lang", F.floor(F.col("value") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    everyone = binned.groupBy("measure", "bin").agg(F.sum("n").alias("n")).select("measure", F.lit(None).cast("string").alias("lang"), F.lit(True).alias("every"), "bin", "n")
+    rows = binned.select("measure", "lang", F.lit(False).alias("every"), "bin", "n").unionByName(everyone)
+    upto = F.sum("n").over(Window.partitionBy("measure", "lang", "every").orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy("measure", "lang", "every"))
     rows = rows.withColumns({"upto": upto, "total": total})
 
     def quartile(q: float) -> Column:
         return (F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) + 0.5) * BIN
 
-    found = rows.groupBy("lang", "every").agg(quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"), F.max("total").alias("total"))
-    spread = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.02))
-    return found.where(F.col("every") | (F.col("total") >= least)).select("lang", "every", (F.col("q2") - width * spread).alias("low"), (F.col("q2") + width * spread).alias("high"))
+    found = rows.groupBy("measure", "lang", "every").agg(quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"), F.max("total").alias("total"))
+    upper = F.col("measure") == "log_ppl"
+    spread = F.greatest(F.when(upper, (F.col("q3") - F.col("q2")) / 0.6745).otherwise((F.col("q3") - F.col("q1")) / 1.349), F.lit(0.02))
+    low = F.when(upper, F.lit(float("-inf"))).otherwise(F.col("q2") - width * spread)
+    return found.where(F.col("every") | (F.col("total") >= least)).select("measure", "lang", "every", low.alias("low"), (F.col("q2") + width * spread).alias("high"))
 
 
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", width: float = 4.0, slack: float = 2.5) -> DataFrame:
     """key, the base counts, base_failed, perplexity, kept of every document."""
     counted = count(docs, text=text).toPandas()  # at most 32^4 rows
     model = build(counted["gram"].to_numpy(), counted["n"].to_numpy())
-    rows = written(measure(docs.select(F.col(key).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")), model), "measured")
-    limits = written(bands(rows, width=width), "bands")
-    every = limits.where("every").select(F.col("low").alias("low0"), F.col("high").alias("high0")).collect()
-    low0, high0 = every[0] if every else (0.0, 0.0)
-    own = limits.where("not every").select(F.col("lang").alias("_lang"), "low", "high")
-    joined = rows.join(own, rows["lang"].eqNullSafe(own["_lang"]), "left")
-    more = slack / F.sqrt(F.greatest("word_chars", F.lit(1)))
-    inside = F.col("log_ppl").between(F.coalesce("low", F.lit(low0)) - more, F.coalesce("high", F.lit(high0)) + more)
+    joined = written(measure(docs, model, text=text, lang=lang, key=key), "measured")
+    limits = written(bands(joined, width=width), "bands")
+    every = {r.measure: (r.low, r.high) for r in limits.where("every").collect()}
+    more, inside = slack / F.sqrt(F.greatest("word_chars", F.lit(1))), F.lit(True)
+    for measure_ in ("log_ppl", "char_ppl"):
+        own = limits.where(~F.col("every") & (F.col("measure") == measure_)).select(F.col("lang").alias(f"_{measure_}"), F.col("low").alias(f"low_{measure_}"), F.col("high").alias(f"high_{measure_}"))
+        joined = joined.join(own, joined["lang"].eqNullSafe(own[f"_{measure_}"]), "left")
+        low, high = (F.coalesce(f"{side}_{measure_}", F.lit(x)) for side, x in zip(("low", "high"), every.get(measure_, (0.0, 0.0))))
+        inside &= F.col(measure_).between(low - more, high + more)
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     return joined.select(F.col("doc_id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.exp("log_ppl").alias("perplexity"), kept.alias("kept"))

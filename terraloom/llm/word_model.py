@@ -1,0 +1,241 @@
+"""Word n-grams of a corpus, by language: each document is scored by the counts of all other documents.
+
+A word's probability after the two words before it is interpolated from trigrams, bigrams and words of the document's
+language (hierarchical Dirichlet smoothing), and at the bottom from the character model, so no word is impossible. All
+counts leave out the document itself, for else every rare word would look likely where it stands. A space-free start
+stands twice before a document, an empty word after it.
+
+Counting: documents are dealt to batches by a hash of their id and text. For each order a batch sends its distinct
+n-grams with their counts, sorted, to the blocks that own their hashes; a block adds up and answers how often the
+other batches hold each. An n-gram that no other document holds has no count left, nor has a longer one around it, so
+the next order sends only n-grams of which both parts are held elsewhere: nothing is lost by that. What is sent grows with the
+corpus, and no task holds more than a batch or a block. N-grams travel as 40-bit hashes: among n distinct ones, one
+takes another's count with probability n / 2^40.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._common import WORD_GAP, settle, small_batches
+from .substring_dedup import packed, unpacked
+
+ORDER = 3
+BATCH_BYTES = 8 << 20
+BLOCK_GRAMS = 2_000_000
+#: Of a language's words, so many are taken to be new; so many observations stand for the lower order.
+NEW, PRIOR = 0.05, 8.0
+_BITS, _DOC_BITS = 40, 24
+_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_START = np.uint64(0x243F6A8885A308D3)
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: memoryview) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def squeezed_counts(n: np.ndarray) -> bytes:
+    return squeezed(n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unsqueezed_counts(data: memoryview) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unsqueezed(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+class Grams:
+    """The n-grams of one order at some positions of a batch: distinct hashes, their counts, and the document's own count at each position."""
+
+    def __init__(self, batch: Batch, order: int, at: np.ndarray):
+        h = batch.lang[batch.doc[at]] + np.uint64(order)
+        for k in range(order - 1, -1, -1):
+            h = (h ^ batch.words[at - k]) * _FACTOR
+            h ^= h >> np.uint64(29)
+        key = h * _MIX >> np.uint64(64 - _BITS) << np.uint64(_DOC_BITS) | batch.doc[at].astype(np.uint64)
+        order_ = np.argsort(key)
+        key = key[order_]
+        gram = key >> np.uint64(_DOC_BITS)
+        new, own = (np.r_[True, x[1:] != x[:-1]] if len(x) else np.empty(0, bool) for x in (gram, key))
+        self.at, self.distinct = at, gram[new]
+        self.counts = np.diff(np.r_[np.flatnonzero(new), len(gram)])
+        self.which, self.own = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        self.which[order_] = np.cumsum(new) - 1
+        self.own[order_] = np.diff(np.r_[np.flatnonzero(own), len(key)])[np.cumsum(own) - 1]
+
+    def cut(self, blocks: int) -> np.ndarray:
+        """Where each block's range begins; ``blocks`` is a power of two."""
+        shift = np.uint64(_BITS - (blocks.bit_length() - 1))
+        return np.r_[np.searchsorted(self.distinct, np.arange(blocks, dtype=np.uint64) << shift), len(self.distinct)]
+
+    def others(self, size: int, elsewhere: np.ndarray) -> np.ndarray:
+        """At every position of the batch: how often other documents hold its n-gram."""
+        out = np.zeros(size, np.int64)
+        out[self.at] = (self.counts + elsewhere)[self.which] - self.own
+        return out
+
+
+class Batch:
+    """Documents as word hashes, one after the other, each with two starts before and an empty word after it."""
+
+    def __init__(self, texts: list[str | None], langs: list[str | None]):
+        if len(texts) >= 1 << _DOC_BITS:
+            raise ValueError("too many documents in a batch")
+        self.vocabulary: dict[bytes, int] = {b"": 0}
+        ids = []
+        for t in texts:
+            found = t.encode("utf-8", "replace").split() if t else []
+            ids.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found), np.int64, len(found)))
+        each = np.array([_START, *map(xxhash.xxh3_64_intdigest, self.vocabulary)], np.uint64)
+        ends = np.array([-1, -1]), np.array([0])
+        self.ids = np.concatenate([np.empty(0, np.int64), *[y for x in ids for y in (ends[0], x, ends[1])]])
+        self.words = each[self.ids + 1]
+        self.length = np.array([len(x) for x in ids], np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), self.length + 3)
+        self.place = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.length + 3) - self.length - 3, self.length + 3)
+        self.lang = np.array([xxhash.xxh3_64_intdigest(repr(g).encode()) for g in langs], np.uint64)
+
+    def counted(self, answers: dict[tuple[int, int], memoryview], blocks: int, upto: int) -> tuple[list[np.ndarray], Grams | None]:
+        """Others' counts of the orders that are answered; the n-grams of order ``upto`` that are to be asked for, if any."""
+        found: list[np.ndarray] = []
+        for order in range(1, ORDER + 1):
+            at = self.place >= order - 1
+            if order > 1:
+                at[1:] &= (found[-1][1:] > 0) & (found[-1][:-1] > 0)
+            grams = Grams(self, order, np.flatnonzero(at))
+            if order == upto:
+                return found, grams
+            elsewhere, cut = np.zeros(len(grams.distinct), np.int64), grams.cut(blocks)
+            for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                elsewhere[cut[b] : cut[b + 1]] = unsqueezed_counts(answers[order, b])
+            found.append(grams.others(len(self.ids), elsewhere))
+        return found, None
+
+    def spelled(self, char_logs: object) -> np.ndarray:
+        """The probability of each word's spelling, by place in the vocabulary."""
+        words = [w.decode().lower() for w in self.vocabulary]
+        size = np.array([len(w) + 3 for w in words])
+        start = np.cumsum(size) - size
+        upto = np.r_[0.0, np.cumsum(char_logs("".join(f"{w}   " for w in words)), dtype=np.float64)]
+        return np.exp(upto[start + size - 2] - upto[start])
+
+    def log_probs(self, counts: list[np.ndarray], spelled: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """For each document, the sum over its words and its end; ``totals`` are the words and ends of other documents in its language."""
+        at = np.flatnonzero(self.place >= 2)
+        c1, c2, c3 = counts
+        total = totals[self.doc[at]]
+        low = spelled[self.ids[at]]
+        p = np.where(total > 0, (1 - NEW) * c1[at] / np.maximum(total, 1) + NEW * low, low)
+        p = (c2[at] + PRIOR * p) / (c1[at - 1] + PRIOR)
+        p = (c3[at] + PRIOR * p) / (c2[at - 1] + PRIOR)
+        return np.bincount(self.doc[at], np.log(np.maximum(p, 1e-300)), len(self.length))
+
+
+def block_answer(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each batch's (n-grams, counts) of one block: how often do the other batches hold the n-gram?"""
+    hashes, counts = (np.concatenate(x) for x in zip(*parts))
+    distinct, which = np.unique(hashes, return_inverse=True)
+    total = np.bincount(which, counts, len(distinct)).astype(np.int64)
+    return np.split(total[which] - counts, np.cumsum([len(p[0]) for p in parts])[:-1])
+
+
+def score(docs: DataFrame, char_logs: object, row: object, more: str, *, text: str = "text", lang: str = "lang", key: str = "doc_id", batch_bytes: int = BATCH_BYTES, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """key, lang, the columns ``more`` that ``row`` makes of each text, and log_prob: the sum over the document's words and its end.
+
+    ``char_logs`` gives the log-probability of each character of a text.
+    """
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    n_words = F.size(F.array_remove(F.split("text", WORD_GAP), ""))
+    sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(F.col("text").isNull(), 1).otherwise(n_words + 1)).alias("n")).collect()
+    total, totals = sum(r.bytes or 0 for r in sizes), {r.lang: r.n for r in sizes}
+    batches = max(32, -(-total // batch_bytes))
+    blocks = 1 << max(5, (total // 3 // block_grams).bit_length())
+    small_batches(docs.sparkSession)
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
+
+    def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).sort_by("batch")
+            ids, first = np.unique(table["batch"].to_numpy(), return_index=True)
+            for b, a, z in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), table.num_rows]):
+                sink = pa.BufferOutputStream()
+                part = table.slice(a, z - a).drop_columns("batch").combine_chunks()
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_table(part)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([squeezed(sink.getvalue().to_pybytes())], pa.binary())], names=["batch", "data"])
+
+        for batch in rows:
+            held.append(batch)
+            size += batch.nbytes
+            if size > 64 << 20:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+        settle()
+
+    def read(table: pa.Table) -> pa.Table:
+        return pa.concat_tables([pa.ipc.open_stream(unsqueezed(memoryview(x.as_buffer()))).read_all() for x in table["data"]])
+
+    def batch_of(own: pa.Table) -> tuple[pa.Table, Batch]:
+        rows = read(own)
+        return rows, Batch(rows["text"].to_pylist(), rows["lang"].to_pylist())
+
+    def told(answers: pa.Table) -> dict[tuple[int, int], memoryview]:
+        return {(o, b): memoryview(n.as_buffer()) for o, b, n in zip(answers["gram_order"].to_pylist(), answers["block"].to_pylist(), answers["n"])}
+
+    def sender(order: int) -> object:
+        def send(own: pa.Table, answers: pa.Table) -> pa.Table:
+            if not own.num_rows:
+                return _sent
+            _, batch = batch_of(own)
+            grams = batch.counted(told(answers), blocks, order)[1]
+            cut = grams.cut(blocks)
+            used = np.flatnonzero(cut[1:] > cut[:-1])
+            part = [slice(cut[b], cut[b + 1]) for b in used]
+            columns = used.astype(np.int32), np.full(len(used), own["batch"][0].as_py(), np.int32), [squeezed(packed(grams.distinct[p])) for p in part], [squeezed_counts(grams.counts[p]) for p in part]
+            return pa.table([pa.array(c, f.type) for c, f in zip(columns, _sent.schema)], schema=_sent.schema)
+
+        return send if order > 1 else lambda own: send(own, _told)
+
+    def answerer(order: int) -> object:
+        def answer(table: pa.Table) -> pa.Table:
+            parts = [(unpacked(unsqueezed(memoryview(h.as_buffer()))), unsqueezed_counts(memoryview(n.as_buffer()))) for h, n in zip(table["hashes"], table["n"])]
+            columns = [order] * table.num_rows, table["batch"].to_pylist(), table["block"].to_pylist(), list(map(squeezed_counts, block_answer(parts)))
+            return pa.table([pa.array(c, f.type) for c, f in zip(columns, _told.schema)], schema=_told.schema)
+
+        return answer
+
+    def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return _out
+        rows, batch = batch_of(own)
+        counts, _ = batch.counted(told(answers), blocks, 0)
+        langs, texts = rows["lang"].to_pylist(), rows["text"].to_pylist()
+        logs = batch.log_probs(counts, batch.spelled(char_logs), np.array([totals[g] for g in langs], np.int64) - batch.length - 1)
+        columns = [rows["doc_id"], langs, *zip(*map(row, texts)), logs]
+        return pa.table([pa.array(c, f.type) if not isinstance(c, pa.ChunkedArray) else c.cast(f.type) for c, f in zip(columns, _out.schema)], schema=_out.schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    sent, answered = "block int, batch int, hashes binary, n binary", "gram_order int, batch int, block int, n binary"
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {more}, log_prob double"
+    _sent, _told, _out = (to_arrow_schema(StructType.fromDDL(x)).empty_table() for x in (sent, answered, out))
+    boxes = dealt.mapInArrow(pack, "batch int, data binary")
+    answers = None
+    for order in range(1, ORDER + 1):
+        asked = boxes.groupBy("batch").applyInArrow(sender(order), sent) if answers is None else boxes.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sender(order), sent)
+        new = asked.groupBy("block").applyInArrow(answerer(order), answered)
+        answers = new if answers is None else answers.unionByName(new)
+    return boxes.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, out)

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from terraloom.llm import bpe, chat, decontam, langid, near_dedup, perplexity, pii, substring_dedup, toxicity, warc
+from terraloom.llm import bpe, chat, decontam, langid, near_dedup, perplexity, pii, substring_dedup, toxicity, warc, word_model
 
 SF = "/root/testdata/sf0.001"
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -187,6 +187,41 @@ def test_clean_is_kept_and_junk_goes(spark):
     assert kept[1] > 0.97 and kept[0] < 0.75
 
 
+def test_word_counts_leave_the_document_out_and_grow(spark):
+    r = random.Random(9)
+    rows = [(k, " ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.randrange(40))) if k % 9 else None, r.choice(["en", "fr", None])) for k in range(150)]
+    rows += [(150, "a bb a bb c", "en")] * 2 + [(152, "only in one language", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spelled = lambda t: np.full(len(t), -1.0)
+    got = word_model.score(df, spelled, lambda t: (len((t or "").split()),), "n_words long", batch_bytes=64, block_grams=16).collect()
+    padded = [["<s>", "<s>", *words(t), ""] for _, t, _ in rows]
+    each = [Counter((g, *w[j - n + 1 : j + 1]) for n in (1, 2, 3) for j in range(n - 1, len(w))) for w, (_, _, g) in zip(padded, rows)]
+    every, size = sum(each, Counter()), Counter()
+    for w, (_, _, g) in zip(padded, rows):
+        size[g] += len(w) - 2
+    expect = []
+    for w, own, (k, _, g) in zip(padded, each, rows):
+        c, n, log = lambda *x: every[(g, *x)] - own[(g, *x)], size[g] - len(w) + 2, 0.0  # noqa: B023, E731
+        for j in range(2, len(w)):
+            p = np.exp(-len(w[j]) - 1.0)
+            p = (1 - word_model.NEW) * c(w[j]) / n + word_model.NEW * p if n else p
+            for m in (1, 2):
+                p = (c(*w[j - m : j + 1]) + word_model.PRIOR * p) / (c(*w[j - m : j]) + word_model.PRIOR)
+            log += np.log(p)
+        expect.append((k, len(w) - 3, log))
+    assert [(x.doc_id, x.n_words, round(x.log_prob, 6)) for x in sorted(got)] == [(k, n, round(x, 6)) for k, n, x in sorted(expect)]
+
+
+def test_words_of_no_other_document_are_rejected(spark):
+    r = random.Random(10)
+    common = ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(100)]
+    text = lambda pick: " ".join(pick() for _ in range(120))
+    rows = [(k, text(lambda: r.choice(common)), "en") for k in range(300)]
+    rows += [(300 + k, text(lambda: "".join(r.sample(r.choice(common), 5))), "en") for k in range(5)]
+    kept = {x.doc_id for x in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()}
+    assert kept == set(range(300))
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 
 
