@@ -1,11 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing over words.
+"""Substring deduplication by looking up hashes of word windows, in place of a relative Lempel-Ziv parse.
 
 The reference is the corpus itself, in blocks: the hash space of ``window``-word sequences is cut into ranges, and each
-block indexes the sequences of its range with the smallest document that holds them. Every document is parsed against
-every block: each of its windows is looked up in the block that owns it, and a factor is extended greedily, word by
-word, while the window that ends there is found in an earlier document. Where extension stops is a factor boundary; a
-factor is at least ``window`` words long by construction, and windows that straddle a boundary are looked up like all
-others, so the spans found are exactly the words that some repeated window covers.
+block indexes the sequences of its range with the smallest document that holds them. Each window of a
+document is looked up in the block that owns it, and found windows that overlap or touch are merged into one span. No source
+position is stored and no factor is extended, as a Lempel-Ziv parse would: only the words that some repeated window covers are
+asked for, and those are the union of the windows found, from whichever documents, while a parse would need the
+sources' texts or positions at hand and yield the same words.
 
 Execution: documents are dealt to batches of about ``batch_bytes`` of text by a hash of their id and text. A batch
 sends each distinct window once, with its smallest document, to the block that owns it; so a window that a third of
@@ -119,7 +119,7 @@ def block_answer(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]
 
 
 def factors(found: np.ndarray, window: int, n_words: int) -> list[tuple[int, int]]:
-    """Greedy factors [start, end) in words, from which windows were found; overlapping ones are one span."""
+    """Spans [start, end) in words, from which windows were found; those that overlap or touch are one span."""
     if not found.any():
         return []
     edge = np.zeros(n_words + 1, np.int64)
