@@ -238,6 +238,13 @@ def _as_column(tree: tuple | float, f: Column) -> Column:
     return F.when(f[FEATURES[i]] <= cut, _as_column(low, f)).otherwise(_as_column(high, f))
 
 
+def chosen(good: Column) -> Column:
+    """The spans of candidates (loss, s), taken from the least loss on where they overlap none taken before."""
+    order = F.array_sort(F.transform(good, lambda c: F.struct(c["loss"].alias("loss"), c["s"]["rank"].alias("rank"), c["s"]["start"].alias("start"), c["s"].alias("s"))))
+    apart = lambda a, c: ~F.exists(a, lambda o: (o["s"]["start"] < c["s"]["end"]) & (c["s"]["start"] < o["s"]["end"]))
+    return F.aggregate(order, F.filter(order, lambda c: F.lit(False)), lambda a, c: F.when(apart(a, c), F.concat(a, F.array(c))).otherwise(a), lambda a: F.transform(a, lambda c: c["s"]))
+
+
 def _found(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The ``keep`` columns as _k0, _k1, ...; _text (never null), _base and _spans."""
     trees, least = _model()
@@ -258,8 +265,7 @@ def _found(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     scores = F.transform(free, lambda c: F.struct((-reduce(lambda a, b: a + b, [_as_column(t, c["f"]) for t in trees])).alias("loss"), c["s"].alias("s")))
     limit = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.lit(-least[k]))])
     rows = rows.withColumn("_good", F.when(F.size("_found") > 0, F.filter(scores, lambda c: c["loss"] <= F.element_at(limit, c["s"]["kind"]))))
-    better = lambda o, c: (o["s"]["start"] < c["s"]["end"]) & (c["s"]["start"] < o["s"]["end"]) & (F.struct(o["loss"], o["s"]["rank"], o["s"]["start"]) < F.struct(c["loss"], c["s"]["rank"], c["s"]["start"]))
-    best = F.when(F.size("_good") > 0, F.transform(F.filter("_good", lambda c: ~F.exists("_good", lambda o: better(o, c))), lambda c: c["s"]))
+    best = F.when(F.size("_good") > 0, chosen(F.col("_good")))
     spans = F.when(best.isNotNull(), F.array_sort(F.concat("_base", best))).otherwise(F.col("_base"))
     return rows.select(*[f"_k{i}" for i in range(len(keep))], "_text", "_base", spans.alias("_spans"))
 
