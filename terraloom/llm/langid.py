@@ -148,19 +148,23 @@ def fit(counts: dict[tuple[str, str], int], vocab: dict[str, int], rounds: int =
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; the model is bounded to {MAX_LANGUAGES}")
     column = {lang: k for k, lang in enumerate(languages)}
-    words = sorted({f" {w}" for _, w in counts if len(w) < 40}, key=len)
+    words = sorted({f" {w}" for _, w in counts}, key=len)
     row = {w: k for k, w in enumerate(words)}
     n = np.zeros((len(words), len(languages)))
     for (lang, word), c in counts.items():
-        if len(word) < 40:
-            n[row[f" {word}"], column[lang]] += c
+        n[row[f" {word}"], column[lang]] += c
     probs = np.full((len(vocab) + 1, len(languages)), 1 / len(vocab))
     probs[-1] = _UNKNOWN
     most = _CELLS // 16
     for _ in range(rounds):
         expected = np.full((len(vocab) + 1, len(languages)), 0.02)
-        for at in range(0, len(words), most):
-            _expect(words[at : at + most], n[at : at + most], vocab, probs, expected)
+        at = 0
+        while at < len(words):
+            stop = at + 1
+            while stop < min(len(words), at + most) and (stop - at + 1) * len(words[stop]) <= 40 * most:
+                stop += 1
+            _expect(words[at:stop], n[at:stop], vocab, probs, expected)
+            at = stop
         probs = expected / expected[:-1].sum(axis=0)
         probs[-1] = _UNKNOWN
     return languages, probs
@@ -171,19 +175,35 @@ def _expect(words: list[str], n: np.ndarray, vocab: dict[str, int], probs: np.nd
     most = int(lengths.max())
     w, s, e, p = _edges(words, vocab)
     alpha, beta = np.zeros((2, len(words), most + 1, probs.shape[1]))
+    up_a, up_b = np.zeros((2, *(alpha.shape if most > 15 else (0, 0, 0))), np.int32)  # factors of 1e120 carried aside; a shorter word needs none
+
+    def lift(values: np.ndarray, up: np.ndarray, at: int, before: int, window: range) -> None:
+        if not len(up):
+            return
+        up[:, at] = up[:, before]
+        low = (values[:, at] > 0) & (values[:, at] < 1e-120)
+        if low.any():
+            for k in window:
+                values[:, k][low] *= 1e120
+                up[:, k][low] += 1
+
     alpha[:, 0] = 1
     beta[np.arange(len(words)), lengths] = 1
     order, begin = _by(e, most)
     for end in range(1, most + 1):
         k = order[begin[end] : begin[end + 1]]
         _sum_into(alpha[:, end], w[k], alpha[w[k], s[k]] * probs[p[k]])
+        lift(alpha, up_a, end, end - 1, range(max(0, end - _LONGEST), end + 1))
     order, begin = _by(s, most)
     for start in range(most - 1, -1, -1):
         k = order[begin[start] : begin[start + 1]]
         _sum_into(beta[:, start], w[k], beta[w[k], e[k]] * probs[p[k]])
+        lift(beta, up_b, start, start + 1, range(start, min(most, start + _LONGEST) + 1))
     total = alpha[np.arange(len(words)), lengths]
     share = n / np.maximum(total, 1e-300)
     posterior = alpha[w, s] * probs[p] * beta[w, e] * share[w]
+    if up_a.any() or up_b.any():
+        posterior *= 10.0 ** (-120.0 * (up_a[w, s] + up_b[w, e] - up_a[np.arange(len(words)), lengths][w]))
     for lang in range(probs.shape[1]):
         expected[:, lang] += np.bincount(p, posterior[:, lang], len(expected))
 
