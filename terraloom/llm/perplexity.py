@@ -13,8 +13,8 @@ characters' has two sides: the median plus and minus ``width`` robust standard d
 alone, from the deviation of its upper half, for words are easy where other documents hold the same passage, which is
 repetition and no lack of quality. A further ``slack`` / sqrt(characters) allows for the noise of short texts. Texts outside are rejected.
 
-Cases: a null text has no words; texts without a word fail the base rules; a null language is a language of its own; a language with
-under ``least`` documents has no band of its own and takes that of all documents; repeated rows count and are judged
+Cases: a null text has no words; texts without a word fail the base rules; a null language is a language of its own; a language's
+quartiles count as its n documents, those of all documents as ``prior`` more, so no document's arrival switches a band; repeated rows count and are judged
 each; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -171,7 +171,7 @@ def measure(docs: DataFrame, model: list, *, text: str = "text", lang: str = "la
     return found.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def bands(measured: DataFrame, *, lang: str = "lang", width: float = 4.0, least: int = 50) -> DataFrame:
+def bands(measured: DataFrame, *, lang: str = "lang", width: float = 4.0, prior: int = 50) -> DataFrame:
     """measure, lang, low, high: the band of each log-perplexity in each language, from the quartiles of a histogram of all documents."""
     both = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("log_ppl", "char_ppl")]))
     values = measured.where(~F.col("base_failed")).select(F.col(lang).cast("string").alias("lang"), both.alias("_v")).select("lang", "_v.*")
@@ -186,10 +186,13 @@ def bands(measured: DataFrame, *, lang: str = "lang", width: float = 4.0, least:
         return (F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) + 0.5) * BIN
 
     found = rows.groupBy("measure", "lang", "every").agg(quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"), F.max("total").alias("total"))
+    overall = found.where("every").select("measure", *[F.col(q).alias(f"_{q}") for q in ("q1", "q2", "q3")])
+    drawn = {q: F.when(F.col("every"), F.col(q)).otherwise((F.col("total") * F.col(q) + prior * F.col(f"_{q}")) / (F.col("total") + prior)) for q in ("q1", "q2", "q3")}
+    found = found.join(F.broadcast(overall), "measure").withColumns(drawn)
     upper = F.col("measure") == "log_ppl"
     spread = F.greatest(F.when(upper, (F.col("q3") - F.col("q2")) / 0.6745).otherwise((F.col("q3") - F.col("q1")) / 1.349), F.lit(0.02))
     low = F.when(upper, F.lit(float("-inf"))).otherwise(F.col("q2") - width * spread)
-    return found.where(F.col("every") | (F.col("total") >= least)).select("measure", "lang", "every", low.alias("low"), (F.col("q2") + width * spread).alias("high"))
+    return found.select("measure", "lang", "every", low.alias("low"), (F.col("q2") + width * spread).alias("high"))
 
 
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", width: float = 4.0, slack: float = 2.5) -> DataFrame:
