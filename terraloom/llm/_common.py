@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +53,9 @@ def _clean() -> None:
     for spark, path in _written:
         if spark.sparkContext._jsc is not None:
             remove(spark, path)
+    for spark, name in _tables:
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +65,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by a column: grouping and joining by it later moves nothing."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    called = f"terraloom_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(called)
+    _tables.append((spark, called))
+    return spark.table(called)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,129 +1,34 @@
 """Quality rules: base rules, and perplexity under n-gram models with language-specific bands.
 
-Two models judge a text. Word trigrams of its language, counted over all other documents (:mod:`word_model`), give the
-``perplexity``: the exponential of the mean negative log-probability of its words and its end. What is counted grows with
-the corpus, in hash ranges that stay on the executors and on disk. Below the words stands a modified Kneser-Ney model
-of order 4 over 32 character classes (white space, the 26 letters, digits, other signs, three classes of further
-letters), one for all languages: it spells words that no other document holds, and judges how a text is spelled. It has a
-fixed size: at most 32^4 = 1,048,576 entries, whatever the corpus, so the driver can hold them and derive continuation
-counts, discounts and probabilities. It travels as sorted arrays (under 16 MB), which a worker expands once.
-
-Bands: per language, all documents that pass the base rules give a histogram of each log-perplexity (bins of 0.005). The
-characters' has two sides: the median plus and minus ``width`` robust standard deviations. The words' has an upper side
-alone, from the deviation of its upper half, for words are easy where other documents hold the same passage, which is
-repetition and no lack of quality. A further ``slack`` / sqrt(characters) allows for the noise of short texts. Texts outside are rejected.
+The model (:mod:`char_model`) is modified Kneser-Ney over five characters, one for each value of ``lang``, counted by Spark over
+all documents and stored in sorted hash arrays. Two of its log-perplexities judge a text, both per character: ``fifth``, that of
+order 5, whose exponential is the ``perplexity``, and ``third``, that of order 3, which counts kinds of neighbours only, so that patterns
+which few documents repeat very often stay unlikely.
+
+Bands: per language, all documents that pass the base rules give a histogram of each log-perplexity (bins of 0.005). A band
+reaches ``widths`` robust standard deviations below and above the median; each side has its own deviation, from the quartile
+on that side, to which noise of ``slack`` x median / sqrt(characters) is added in squares, for short texts. Texts outside either band are rejected.
 
 Cases: a null text has no words; texts without a word fail the base rules; a null language is a language of its own; a language's
 quartiles count as its n documents, those of all documents as ``prior`` more, so no document's arrival switches a band; repeated rows count and are judged
-each; an empty table gives no rows; extra columns are ignored.
+each; very long texts are counted and scored whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import word_model
+from . import char_model
 from ._common import written
 
-CLASSES, ORDER = 32, 4
 #: The symbols that the base rules count.
 SYMBOLS = "#*$%&|<>"
 BIN = 0.005
-
-
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """The class of every code point."""
-    table = np.full(0x110000, 28, np.uint8)
-    for cp in range(0x80, 0x110000):
-        c = chr(cp)
-        if c.isalpha():
-            table[cp] = 29 + cp % 3
-        elif c.isdigit():
-            table[cp] = 27
-        elif c.isspace():
-            table[cp] = 0
-    table[[0x20, *range(0x09, 0x0E)]] = 0
-    table[0x30:0x3A] = 27
-    for k in range(26):
-        table[0x61 + k] = table[0x41 + k] = 1 + k
-    return table
-
-
-def codes(text: str) -> np.ndarray:
-    """The 4-grams of a text as numbers; three spaces stand before it."""
-    c = np.concatenate([np.zeros(ORDER - 1, np.uint8), _classes()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]]).astype(np.uint32)
-    return c[:-3] << 15 | c[1:-2] << 10 | c[2:-1] << 5 | c[3:]
-
-
-def count(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """gram, n: the 4-grams of all texts, counted map-side first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(CLASSES**ORDER, np.int64), [], 0
-
-        def flush() -> None:
-            nonlocal total, held, size
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
-            held, size = [], 0
-
-        for batch in batches:
-            for t in batch.column(0):
-                if value := t.as_py():
-                    held.append(codes(value))
-                    size += len(value)
-                    if size > 2_000_000:
-                        flush()
-        flush()
-        found = np.flatnonzero(total)
-        for at in range(0, len(found), 100_000):
-            part = found[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["gram", "n"])
-
-    return docs.select(text).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney's discounts for counts 0, 1, 2, 3 and more."""
-    n1, n2, n3, n4 = (int((n == k).sum()) for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = n1 / (n1 + 2 * n2)
-    return np.array([0.0, *np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [0.95, 1.9, 2.9])])
-
-
-def build(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For orders 4 to 1: sorted codes, their discounted probabilities; sorted contexts, their back-off weights."""
-    order = np.argsort(gram)
-    gram, n = gram[order].astype(np.int64), n[order].astype(np.int64)
-    model = []
-    for size in range(ORDER, 0, -1):
-        discount = discounts(n)[np.minimum(n, 3)]
-        context, where = np.unique(gram >> 5, return_inverse=True)
-        total = np.bincount(where, n)
-        model.append((gram.astype(np.uint32), (n - discount) / total[where], context.astype(np.uint32), np.bincount(where, discount) / total))
-        gram, n = np.unique(gram & ((1 << 5 * (size - 1)) - 1), return_counts=True)  # continuation counts
-    return model
-
-
-def expand(model: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The log-probability of every 4-gram, from the sorted arrays."""
-    lower = np.full(CLASSES, 1 / CLASSES)
-    for size in range(1, ORDER + 1):
-        gram, p, context, backoff = model[ORDER - size]
-        weight = np.ones(CLASSES ** (size - 1))
-        weight[context] = backoff
-        full = np.tile(lower, CLASSES**size // len(lower)) * np.repeat(weight, CLASSES)
-        full[gram] += p
-        lower = full
-    return np.log(np.maximum(lower, 1e-12)).astype(np.float32)
+MEASURES = ("fifth", "third")
+WIDTHS = {"fifth": 5.0, "third": 3.0}
+SLACK = 0.15
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -151,62 +56,48 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def measure(docs: DataFrame, model: list, *, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """doc_id, lang, the base counts, base_failed; log_ppl of words and char_ppl, the same of characters (null without a word)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    state: dict[str, np.ndarray] = {}
-
-    def char_logs(value: str) -> np.ndarray:
-        if "table" not in state:
-            state["table"] = expand(shared.value)
-        return state["table"][codes(value)]
+def measure(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", batch_bytes: int = char_model.BATCH_BYTES) -> DataFrame:
+    """doc_id, lang, n_chars, the base counts, base_failed; fifth and third, the log-perplexities of characters (null without one)."""
 
     def row(value: str | None) -> tuple:
-        found = base_counts(value or "")
-        return *found, float(-char_logs(value).mean(dtype=np.float64)) if found[0] else None
+        return *base_counts(value or ""), len(value or "")
 
-    columns = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_ppl double"
-    found = word_model.score(docs, char_logs, row, columns, text=text, lang=lang, key=key)
-    found = found.withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("log_prob") / (F.col("n_words") + 1))).drop("log_prob")
+    columns = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long"
+    found = char_model.score(docs, row, columns, text=text, lang=lang, key=key, batch_bytes=batch_bytes)
     return found.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def bands(measured: DataFrame, *, lang: str = "lang", width: float = 4.0, prior: int = 50) -> DataFrame:
-    """measure, lang, low, high: the band of each log-perplexity in each language, from the quartiles of a histogram of all documents."""
-    both = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("log_ppl", "char_ppl")]))
-    values = measured.where(~F.col("base_failed")).select(F.col(lang).cast("string").alias("lang"), both.alias("_v")).select("lang", "_v.*")
+def bands(measured: DataFrame, *, prior: int = 50) -> DataFrame:
+    """measure, lang, median, below, above: median and robust deviations of each log-perplexity in each language, from a histogram of all documents."""
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in MEASURES]))
+    values = measured.where(~F.col("base_failed")).select("lang", both.alias("_v")).select("lang", "_v.*")
     binned = values.groupBy("measure", "lang", F.floor(F.col("value") / BIN).alias("bin")).agg(F.count("*").alias("n"))
-    everyone = binned.groupBy("measure", "bin").agg(F.sum("n").alias("n")).select("measure", F.lit(None).cast("string").alias("lang"), F.lit(True).alias("every"), "bin", "n")
-    rows = binned.select("measure", "lang", F.lit(False).alias("every"), "bin", "n").unionByName(everyone)
-    upto = F.sum("n").over(Window.partitionBy("measure", "lang", "every").orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy("measure", "lang", "every"))
+    everyone = binned.groupBy("measure", "bin").agg(F.sum("n").alias("n")).select("measure", F.lit(None).cast("string").alias("lang"), "bin", "n")
+    rows = binned.select("measure", "lang", "bin", "n").unionByName(everyone)
+    upto = F.sum("n").over(Window.partitionBy("measure", "lang").orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy("measure", "lang"))
     rows = rows.withColumns({"upto": upto, "total": total})
 
     def quartile(q: float) -> Column:
         return (F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) + 0.5) * BIN
 
-    found = rows.groupBy("measure", "lang", "every").agg(quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"), F.max("total").alias("total"))
-    overall = found.where("every").select("measure", *[F.col(q).alias(f"_{q}") for q in ("q1", "q2", "q3")])
-    drawn = {q: F.when(F.col("every"), F.col(q)).otherwise((F.col("total") * F.col(q) + prior * F.col(f"_{q}")) / (F.col("total") + prior)) for q in ("q1", "q2", "q3")}
-    found = found.join(F.broadcast(overall), "measure").withColumns(drawn)
-    upper = F.col("measure") == "log_ppl"
-    spread = F.greatest(F.when(upper, (F.col("q3") - F.col("q2")) / 0.6745).otherwise((F.col("q3") - F.col("q1")) / 1.349), F.lit(0.02))
-    low = F.when(upper, F.lit(float("-inf"))).otherwise(F.col("q2") - width * spread)
-    return found.select("measure", "lang", "every", low.alias("low"), (F.col("q2") + width * spread).alias("high"))
+    found = rows.groupBy("measure", "lang").agg(quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"), F.max("total").alias("total"))
+    overall = found.where("lang IS NULL").select("measure", *[F.col(q).alias(f"_{q}") for q in ("q1", "q2", "q3")])
+    drawn = {q: (F.col("total") * F.col(q) + prior * F.col(f"_{q}")) / (F.col("total") + prior) for q in ("q1", "q2", "q3")}
+    found = found.where("lang IS NOT NULL").join(F.broadcast(overall), "measure").withColumns(drawn)  # two rows
+    deviation = lambda x: F.greatest(x / 0.6745, F.lit(BIN))
+    return found.select("measure", "lang", F.col("q2").alias("median"), deviation(F.col("q2") - F.col("q1")).alias("below"), deviation(F.col("q3") - F.col("q2")).alias("above"))
 
 
-def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", width: float = 4.0, slack: float = 2.5) -> DataFrame:
+def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", widths: dict[str, float] = WIDTHS, slack: float = SLACK, batch_bytes: int = char_model.BATCH_BYTES) -> DataFrame:
     """key, the base counts, base_failed, perplexity, kept of every document."""
-    counted = count(docs, text=text).toPandas()  # at most 32^4 rows
-    model = build(counted["gram"].to_numpy(), counted["n"].to_numpy())
-    joined = written(measure(docs, model, text=text, lang=lang, key=key), "measured")
-    limits = written(bands(joined, width=width), "bands")
-    every = {r.measure: (r.low, r.high) for r in limits.where("every").collect()}
-    more, inside = slack / F.sqrt(F.greatest("word_chars", F.lit(1))), F.lit(True)
-    for measure_ in ("log_ppl", "char_ppl"):
-        own = limits.where(~F.col("every") & (F.col("measure") == measure_)).select(F.col("lang").alias(f"_{measure_}"), F.col("low").alias(f"low_{measure_}"), F.col("high").alias(f"high_{measure_}"))
-        joined = joined.join(own, joined["lang"].eqNullSafe(own[f"_{measure_}"]), "left")
-        low, high = (F.coalesce(f"{side}_{measure_}", F.lit(x)) for side, x in zip(("low", "high"), every.get(measure_, (0.0, 0.0))))
-        inside &= F.col(measure_).between(low - more, high + more)
+    joined = written(measure(docs, text=text, lang=lang, key=key, batch_bytes=batch_bytes), "measured")
+    limits, inside = written(bands(joined), "bands"), F.lit(True)
+    for m in MEASURES:
+        own = limits.where(F.col("measure") == m).select("lang", *[F.col(c).alias(f"{c}_{m}") for c in ("median", "below", "above")])
+        joined = joined.join(own, "lang", "left")
+        off = F.col(m) - F.col(f"median_{m}")
+        side = F.when(off < 0, F.col(f"below_{m}")).otherwise(F.col(f"above_{m}"))
+        inside &= F.abs(off) <= widths[m] * F.hypot(side, slack * F.col(f"median_{m}") / F.sqrt(F.greatest("n_chars", F.lit(1))))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    return joined.select(F.col("doc_id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.exp("log_ppl").alias("perplexity"), kept.alias("kept"))
+    return joined.select(F.col("doc_id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.exp("fifth").alias("perplexity"), kept.alias("kept"))

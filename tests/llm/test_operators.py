@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from terraloom.llm import bpe, chat, decontam, langid, near_dedup, perplexity, pii, substring_dedup, toxicity, warc, word_model
+from terraloom.llm import bpe, char_model, chat, decontam, langid, near_dedup, perplexity, pii, substring_dedup, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -169,14 +169,63 @@ def test_base_rules(docs, odd, none):
     assert perplexity.judge(none).count() == 0
 
 
-def test_model_is_a_distribution_and_counts_are_whole(docs):
-    counted = perplexity.count(docs).toPandas()
-    texts = [r.text for r in docs.select("text").collect() if r.text]
-    assert counted.n.sum() == sum(map(len, (t.lower() for t in texts)))
-    brute = Counter(np.concatenate([perplexity.codes(t) for t in texts]).tolist())
-    assert dict(zip(counted.gram, counted.n)) == brute
-    full = perplexity.expand(perplexity.build(counted.gram.to_numpy(), counted.n.to_numpy()))
-    assert np.exp(full.reshape(-1, 32).astype(float)).sum(axis=1) == pytest.approx(np.ones(32**3), abs=1e-3)
+def brute_kneser_ney(rows):
+    """Log-perplexities of characters at orders 5 and 3, by dictionaries."""
+    counts = defaultdict(Counter)
+    grams = lambda t: [x[k : k + 5] for x in ["\0" * 4 + t] for k in range(len(t))]
+    for _, t, lang in rows:
+        counts[lang].update(set(grams(t or "")))
+    probability = {}
+    for lang, n in counts.items():
+        levels = [n]
+        for _ in range(4):
+            levels.append(Counter(g[1:] for g in levels[-1]))
+        letters, below = len(levels[-1]), None
+        for level in reversed(levels):
+            discount = char_model.discounts([sum(c == k for c in level.values()) for k in (1, 2, 3, 4)])
+            total, less = Counter(), Counter()
+            for g, c in level.items():
+                total[g[:-1]] += c
+                less[g[:-1]] += discount[min(c, 3)]
+            below = {g: (c - discount[min(c, 3)]) / total[g[:-1]] + less[g[:-1]] / total[g[:-1]] * (1 / letters if below is None else below[g[1:]]) for g, c in level.items()}
+            probability[lang, len(next(iter(level)))] = below
+    mean = lambda t, lang, n: -sum(np.log(probability[lang, n][g[5 - n :]]) for g in grams(t)) / len(t)
+    return sorted((k, lang or "", round(mean(t, lang, 5), 2), round(mean(t, lang, 3), 2)) for k, t, lang in rows if t)
+
+
+def test_model_equals_a_brute_force_kneser_ney(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdeé日🎉") for _ in range(r.randint(1, 6)))
+    rows = [(k, " ".join(word() for _ in range(r.randrange(60))) if k % 9 else None, r.choice(["en", "fr", None, "", "-"])) for k in range(150)]
+    rows += [(150, "a bb a bb c", "en")] * 2 + [(152, "one", "de"), (153, "x" * 5000, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    for group in (1000, 2):
+        got = char_model.score(df, lambda t: (len(t or ""),), "n_chars long", batch_bytes=4096, group=group, blocks=5).collect()
+        assert len(got) == len(rows) and all((x.fifth is None) == (not x.n_chars) for x in got)
+        near = lambda x, y: x[:2] == y[:2] and abs(x[2] - y[2]) < 0.011 and abs(x[3] - y[3]) < 0.011
+        own = sorted((x.doc_id, x.lang[1:], round(x.fifth, 2), round(x.third, 2)) for x in got if x.n_chars)
+        assert len(own) == len(brute_kneser_ney(rows)) and all(map(near, own, brute_kneser_ney(rows)))
+
+
+def test_levels_are_distributions():
+    r = random.Random(3)
+    texts = ["".join(r.choice("abc ") for _ in range(r.randrange(1, 80))) for _ in range(30)]
+    grams = char_model.Grams.of(texts, char_model.seed_of("+en"))
+    levels = char_model.Levels(grams, char_model.seed_of("+en"))
+    pairs = char_model.pair_probabilities(*levels.pairs.T, levels.pair_n)
+    p5, p3 = levels.probabilities([char_model.counts_of_counts(n) for n in levels.n], pairs)
+    seen = Counter()
+    for g, p in zip(grams.codes.tolist(), p5):
+        seen[tuple(g[:4])] += p
+    assert max(seen.values()) <= 1 + 1e-9 and p5.min() > 0 and p3.max() <= 1
+    assert all(n == 1 for n in Counter(map(tuple, grams.codes.tolist())).values())
+    assert grams.n.tolist() == [sum("".join(chr(c - 1) if c else "\0" for c in g) in "\0" * 4 + t for t in texts) for g in grams.codes.tolist()]
+
+
+def test_what_is_gathered_grows(docs):
+    texts = [r.text for r in docs.orderBy("doc_id").collect() if r.text]
+    sizes = [len(char_model.Grams.of(texts[:n], char_model.seed_of("+en")).n) for n in (25, 50, 100, len(texts))]
+    assert sizes == sorted(set(sizes)) and sizes[-1] > 1.5 * sizes[0]
 
 
 def test_clean_is_kept_and_junk_goes(spark):
@@ -184,42 +233,26 @@ def test_clean_is_kept_and_junk_goes(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = perplexity.judge(d).join(labels, "doc_id").where("NOT base_failed AND quality IS NOT NULL").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in rows}
-    assert kept[1] > 0.97 and kept[0] < 0.75
+    assert kept[1] > 0.97 and kept[0] < 0.35
 
 
-def test_word_counts_leave_the_document_out_and_grow(spark):
-    r = random.Random(9)
-    rows = [(k, " ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.randrange(40))) if k % 9 else None, r.choice(["en", "fr", None])) for k in range(150)]
-    rows += [(150, "a bb a bb c", "en")] * 2 + [(152, "only in one language", "de")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    spelled = lambda t: np.full(len(t), -1.0)
-    got = word_model.score(df, spelled, lambda t: (len((t or "").split()),), "n_words long", batch_bytes=64, block_grams=16).collect()
-    padded = [["<s>", "<s>", *words(t), ""] for _, t, _ in rows]
-    each = [Counter((g, *w[j - n + 1 : j + 1]) for n in (1, 2, 3) for j in range(n - 1, len(w))) for w, (_, _, g) in zip(padded, rows)]
-    every, size = sum(each, Counter()), Counter()
-    for w, (_, _, g) in zip(padded, rows):
-        size[g] += len(w) - 2
-    expect = []
-    for w, own, (k, _, g) in zip(padded, each, rows):
-        c, n, log = lambda *x: every[(g, *x)] - own[(g, *x)], size[g] - len(w) + 2, 0.0  # noqa: B023, E731
-        for j in range(2, len(w)):
-            p = np.exp(-len(w[j]) - 1.0)
-            p = (1 - word_model.NEW) * c(w[j]) / n + word_model.NEW * p if n else p
-            for m in (1, 2):
-                p = (c(*w[j - m : j + 1]) + word_model.PRIOR * p) / (c(*w[j - m : j]) + word_model.PRIOR)
-            log += np.log(p)
-        expect.append((k, len(w) - 3, log))
-    assert [(x.doc_id, x.n_words, round(x.log_prob, 6)) for x in sorted(got)] == [(k, n, round(x, 6)) for k, n, x in sorted(expect)]
-
-
-def test_words_of_no_other_document_are_rejected(spark):
+def test_ties_and_clashing_columns_are_judged_alike(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    more = d.withColumns({c: F.lit("x") for c in ("fifth", "third", "batch", "block", "median_fifth", "n_chars", "kept", "perplexity")})
+    verdict = lambda df: sorted((r.doc_id, r.kept, round(r.perplexity or 0, 2)) for r in perplexity.judge(df).collect())
+    assert verdict(more) == verdict(d)
+    twice = perplexity.judge(d.unionByName(d)).groupBy("doc_id").agg(F.countDistinct("kept").alias("k"), F.count("*").alias("n")).collect()
+    assert all(x.k == 1 and x.n % 2 == 0 for x in twice)
+
+
+def test_scrambled_words_are_rejected(spark):
     r = random.Random(10)
     common = ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(100)]
     text = lambda pick: " ".join(pick() for _ in range(120))
     rows = [(k, text(lambda: r.choice(common)), "en") for k in range(300)]
     rows += [(300 + k, text(lambda: "".join(r.sample(r.choice(common), 5))), "en") for k in range(5)]
     kept = {x.doc_id for x in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()}
-    assert kept == set(range(300))
+    assert not kept & set(range(300, 305)) and len(kept) >= 295
 
 
 # -- 5 ---------------------------------------------------------------------------------------------------------------
