@@ -6,8 +6,8 @@ orders 5 to 1 with modified Kneser-Ney's discounts; the lower orders count disti
 
 Every text that is scored has been counted, so an n-gram's probability is looked up whole, without back-off at lookup:
 
-1. ``packed``: tasks pack their documents into batches of about ``batch_bytes``, written once, bucketed by batch, so that
-   no later step moves texts.
+1. Batches (:mod:`batches`): tasks pack their documents into batches of about ``batch_bytes``, written once, bucketed by
+   batch, so that no later step moves texts.
 2. ``sent``: a batch sends its distinct n-grams with their counts to the blocks that own their two middle characters. All
    n-grams with one context, or with one left-stripped suffix, down to order 3, therefore meet in one block. Sorted by code points and
    compressed they take 2 to 4 bytes each.
@@ -27,13 +27,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ._common import bucketed, settle, small_batches, written
+from ._common import small_batches, written
+from .batches import opened, packed_batches, planes, squeezed, unplaned, unsqueezed
 
 ORDER = 5
 BATCH_BYTES = 64 << 20
@@ -55,24 +55,6 @@ def _table(schema: pa.Schema, *columns: list) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
-
-
-def unsqueezed(data: pa.Scalar) -> bytes:
-    view = memoryview(data.as_buffer())
-    return pa.decompress(view[8:], decompressed_size=int.from_bytes(view[:8], "little"), codec="zstd", asbytes=True)
-
-
-def planes(values: np.ndarray) -> bytes:
-    """Numbers as planes of their bytes."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
-def unplaned(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def mixed(seed: np.uint64, *codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of code points in order."""
     h = np.full(len(codes[0]), seed, np.uint64)
@@ -249,42 +231,6 @@ class Lookup:
         return [v[at] for v in self.values]
 
 
-def pack(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
-    """batch, data: the rows (doc_id, lang, text) in batches, written in the shared folder and bucketed by batch; and how many batches there are about."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batch_bytes = min(batch_bytes, max(1 << 20, total // 12))  # small inputs are dealt out too
-    tasks = max(12, -(-total // batch_bytes))
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, held, size, here, number = TaskContext.get().partitionId() << 24, [], 0, 0, 0
-
-        def flush() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as writer:
-                for b in held:
-                    writer.write_batch(b)
-            return pa.RecordBatch.from_arrays([pa.array([base + number], pa.int64()), pa.array([squeezed(sink.getvalue().to_pybytes())], pa.binary())], names=["batch", "data"])
-
-        for rows_ in rows:
-            held.append(rows_)
-            size += rows_.nbytes
-            if size >= min(16 << 20, batch_bytes):  # a large batch is several rows
-                yield flush()
-                held, here, size = [], here + size, 0
-                number, here = (number + 1, 0) if here >= batch_bytes else (number, here)
-        if held:
-            yield flush()
-        settle()
-
-    boxes = docs.coalesce(tasks).mapInArrow(run, "batch long, data binary")
-    return bucketed(boxes, "batches", "batch", min(4 * tasks, 20_000)), tasks
-
-
-def opened(own: pa.Table) -> Iterator[pa.Table]:
-    for data in own["data"]:
-        yield pa.ipc.open_stream(unsqueezed(data)).read_all()
-
-
 def _send(blocks: int) -> Callable[[pa.Table], pa.Table]:
     def run(own: pa.Table) -> pa.Table:
         parts: dict[str, list[Grams]] = {}
@@ -409,7 +355,7 @@ def score(docs: DataFrame, row: Callable[[str | None], tuple], more: str, *, tex
     small_batches(docs.sparkSession)
     named = F.coalesce(F.concat(F.lit("+"), F.col(lang).cast("string")), F.lit("-"))
     kind = docs.schema[key].dataType.simpleString()
-    boxes, batches = pack(docs.select(F.col(key).alias("doc_id"), named.alias("lang"), F.col(text).alias("text")), batch_bytes)
+    boxes, batches, _ = packed_batches(docs.select(F.col(key).alias("doc_id"), named.alias("lang"), F.col(text).alias("text")), batch_bytes)
     blocks = blocks or min(256, max(16, 1 << (batches - 1).bit_length()))
     sent = written(boxes.groupBy("batch").applyInArrow(_send(blocks), from_arrow_schema(_SENT)), "sent")
     salts = max(1, -(-batches // group))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,20 +125,55 @@ def brute_substring(rows, n=13):
     return sorted(out, key=str)
 
 
+def brute_parse(rows, n=13):
+    """For each row, factors as the greedy parse of leftmost sources makes them, by dictionaries."""
+    last, source, out = (1 << 63) - 1, {}, []
+    rows = [(last if i is None else i, words(t), i) for i, t in rows]
+    for i, w, _ in sorted(rows, key=lambda x: (x[0], x[1])):
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            source[key] = min(source.get(key, (i, k)), (i, k))
+    for i, w, own in rows:
+        found, before = [], None
+        for k in range(len(w) - n + 1):
+            s = source[tuple(w[k : k + n])]
+            if s[0] >= i:
+                before = None
+                continue
+            if before == (s[0], s[1] - 1):
+                found[-1][1] = k + n
+            else:
+                found.append([k, k + n, *s])
+            before = s
+        out.append((own, len(w), [tuple(f) for f in found]))
+    return sorted(out, key=str)
+
+
 def test_substring_equals_brute_force(spark, docs, odd, none):
     passage = " ".join(f"p{k}" for k in range(30))
     planted = spark.createDataFrame([(5, f"a {passage} b"), (2, passage), (9, f"{passage} {passage[:60]}"), (2, "c " + passage), (None, passage), (7, " ".join(f"p{k}" for k in range(12)))], "doc_id long, text string")
-    for df in (docs, odd, planted):
-        want = brute_substring([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+    for df in (docs, odd, planted, docs.unionByName(docs).repartition(7)):
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        want = brute_substring(rows)
         got = substring_dedup.spans(df, batch_bytes=20_000, block_windows=500).collect()
         assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got], key=str) == want
         assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
+        assert sorted([(r.doc_id, r.n_words, [tuple(f) for f in r.factors]) for r in got], key=str) == brute_parse(rows)
+        digests = sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(df).collect()], key=str)
+        assert digests == sorted([(i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in want], key=str)
     assert substring_dedup.digests(none).count() == 0
 
 
+def test_factors_end_where_the_source_does():
+    doc, at = np.array([3, 3, 3, 4, -1, 3, 3, 3]), np.array([5, 6, 7, 0, -1, 8, 9, 2])
+    parse = substring_dedup.factors(doc, at, 13)
+    assert parse == [(0, 15, 3, 5), (3, 16, 4, 0), (5, 19, 3, 8), (7, 20, 3, 2)]
+    assert substring_dedup.merged(parse) == [(0, 20)] and substring_dedup.factors(doc[:0], at[:0], 13) == []
+
+
 def test_substring_packing():
-    values = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64))
-    assert (substring_dedup.unpacked(substring_dedup.packed(values)) == values).all()
+    values = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000, np.uint64))
+    assert (substring_dedup.unpacked(pa.scalar(substring_dedup.packed(values))) == values).all()
 
 
 # -- 4 ---------------------------------------------------------------------------------------------------------------
