@@ -6,7 +6,7 @@ batch are tested together against a table of tested pairs; only words with a fai
 Words repeat, so each Python worker keeps a bounded table of encoded words.
 
 Cases: a null text counts as empty (0 tokens); special tokens inside a text become their own ids, as the tokenizers
-library does by default; repeated rows give repeated rows; extra input columns are ignored; an empty table gives none.
+library does by default; repeated rows give repeated rows; very long texts and words are encoded whole; extra input columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -48,6 +48,11 @@ class ByteBPE:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         model, stand_in = spec["model"], _byte_chars()
+        split, decoder = spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+        if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or decoder.get("type") != "ByteLevel":
+            raise ValueError("only BPE models of plain byte level are supported, without a normalizer or prefix space")
+        if model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            raise ValueError("dropout, ignored merges and marks of subwords are not supported")
         as_bytes = lambda token: bytes(stand_in[c] for c in token)
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens", [])):
@@ -68,7 +73,7 @@ class ByteBPE:
             self.merged.append(self.ids[a + b])
         self.single = [self.ids[bytes([b])] for b in range(256)]
         order = sorted(self.ranks.items())
-        self.pair_keys = np.array([k for k, _ in order], np.int64)
+        self.pair_keys = np.array([k for k, _ in order] + [1 << 62], np.int64)
         self.pair_ranks = np.array([r for _, r in order] + [_NONE], np.int64)
         self.merged_ids = np.array(self.merged, np.int64)
         self.words: dict[str, tuple[int, ...]] = {}
@@ -118,14 +123,13 @@ class ByteBPE:
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
         at = np.searchsorted(self.pair_keys, key)
-        at[at == len(self.pair_keys)] = 0
         return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], _NONE)
 
     def merge_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Exact merging of many words at once: in each step every word that still can merges its first pair of lowest rank."""
         out: list[tuple[int, ...]] = [()] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for k in np.flatnonzero(lengths > 48).tolist():
+        for k in np.flatnonzero(lengths > 48).tolist():  # the same merges, one word at a time, for a matrix of long rows is mostly empty
             out[k] = tuple(self.merge(words[k]))
         order = np.flatnonzero((lengths > 0) & (lengths <= 48))
         order = order[np.argsort(lengths[order], kind="stable")]
@@ -179,7 +183,7 @@ class ByteBPE:
     def learn(self, words: list[str]) -> None:
         """Encode words that the table lacks: speculate, verify all pairs at once, merge only the failing words."""
         raw = [w.encode() for w in words]
-        proposed = [self.propose(w) if len(w) <= 256 else [] for w in raw]
+        proposed = [self.propose(w) for w in raw]
         lengths = np.fromiter(map(len, proposed), np.int64, len(words))
         flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(words)), lengths)
@@ -195,7 +199,6 @@ class ByteBPE:
         good = np.fromiter((known[key] for key in unique.tolist()), bool, len(unique))
         failed = np.zeros(len(words), bool)
         failed[owner[1:][inside][~good[where]]] = True
-        failed |= lengths == 0
         self.words.update((words[k], tuple(proposed[k])) for k in np.flatnonzero(~failed).tolist())
         again = np.flatnonzero(failed).tolist()
         self.words.update(zip([words[k] for k in again], self.merge_many([raw[k] for k in again])))

@@ -10,7 +10,8 @@ every whole text. The model has vocabulary x languages numbers (256 KB a languag
 
 Cases: a null text or one without a letter gets ``und`` with score 0; rows whose language is null are never learnt
 from; with nothing to learn from, every text gets ``und``; equal posteriors go to the alphabetically first language;
-repeated rows are scored alike; extra columns are ignored.
+repeated rows are scored alike; very long texts and words are read whole; over ``MAX_LANGUAGES`` languages raise; extra columns are ignored.
+Letters are those of Unicode's categories L; digits, superscripts and Roman numerals are none.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 from ._common import map_batches, settle, small_batches, unit_hash
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-_LONGEST = 16  # characters of a piece
+#: Word characters that are neither letters nor decimal digits: superscripts, fractions, Roman numerals and the like.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _UNKNOWN = 1e-7  # of a character that is no piece, in every language
 _MOST_WORDS = 350_000
 _CELLS = 200_000
@@ -44,7 +46,7 @@ def vocabulary(path: str) -> dict[str, int]:
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
     mark = model.encode("a", out_type=str)[0][0]
     found = dict.fromkeys(p.replace(mark, " ").lower() for p in pieces)
-    return {p: k for k, p in enumerate(p for p in found if len(p) <= _LONGEST and (p.strip().isalpha() or p == " "))}
+    return {p: k for k, p in enumerate(p for p in found if p.strip().isalpha() or p == " ")}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,6 +56,10 @@ def words_of(text: str | None) -> list[str]:
 _tries: dict[int, tuple[dict[str, int], dict[str, int]]] = {}
 
 
+def _longest(vocab: dict[str, int]) -> int:
+    return max(map(len, vocab), default=1)
+
+
 def _trie(vocab: dict[str, int]) -> dict[str, int]:
     """Every prefix of a piece: the piece's number, or -1 if the prefix is none."""
     if id(vocab) not in _tries:
@@ -120,7 +126,7 @@ def forward(words: list[str], vocab: dict[str, int], probs: np.ndarray) -> np.nd
 
 def _forward_block(words: list[str], vocab: dict[str, int], probs: np.ndarray) -> np.ndarray:
     lengths = np.array([len(w) for w in words])
-    most = int(lengths.max())
+    most, longest = int(lengths.max()), _longest(vocab)
     w, s, e, p = _edges(words, vocab)
     order, begin = _by(e, most)
     w, s, p = w[order], s[order], p[order]
@@ -136,7 +142,7 @@ def _forward_block(words: list[str], vocab: dict[str, int], probs: np.ndarray) -
             logs[done] = np.log(np.maximum(alpha[done, end], 1e-300)) + scale[done, None]
         low = (lengths > end) & (alpha[:, end].max(axis=1) < 1e-120)
         if low.any():  # long words: carry the factor aside
-            window = slice(max(0, end - _LONGEST), end + 1)
+            window = slice(max(0, end - longest), end + 1)
             alpha[low, window] *= 1e120
             scale[low] -= 120 * np.log(10)
     return logs
@@ -172,7 +178,7 @@ def fit(counts: dict[tuple[str, str], int], vocab: dict[str, int], rounds: int =
 
 def _expect(words: list[str], n: np.ndarray, vocab: dict[str, int], probs: np.ndarray, expected: np.ndarray) -> None:
     lengths = np.array([len(w) for w in words])
-    most = int(lengths.max())
+    most, longest = int(lengths.max()), _longest(vocab)
     w, s, e, p = _edges(words, vocab)
     alpha, beta = np.zeros((2, len(words), most + 1, probs.shape[1]))
     up_a, up_b = np.zeros((2, *(alpha.shape if most > 15 else (0, 0, 0))), np.int32)  # factors of 1e120 carried aside; a shorter word needs none
@@ -193,12 +199,12 @@ def _expect(words: list[str], n: np.ndarray, vocab: dict[str, int], probs: np.nd
     for end in range(1, most + 1):
         k = order[begin[end] : begin[end + 1]]
         _sum_into(alpha[:, end], w[k], alpha[w[k], s[k]] * probs[p[k]])
-        lift(alpha, up_a, end, end - 1, range(max(0, end - _LONGEST), end + 1))
+        lift(alpha, up_a, end, end - 1, range(max(0, end - longest), end + 1))
     order, begin = _by(s, most)
     for start in range(most - 1, -1, -1):
         k = order[begin[start] : begin[start + 1]]
         _sum_into(beta[:, start], w[k], beta[w[k], e[k]] * probs[p[k]])
-        lift(beta, up_b, start, start + 1, range(start, min(most, start + _LONGEST) + 1))
+        lift(beta, up_b, start, start + 1, range(start, min(most, start + longest) + 1))
     total = alpha[np.arange(len(words)), lengths]
     share = n / np.maximum(total, 1e-300)
     posterior = alpha[w, s] * probs[p] * beta[w, e] * share[w]
@@ -231,9 +237,9 @@ def train(docs: DataFrame, path: str, *, learn: Column | None = None, text: str
     """Fit on at most about ``max_docs`` hash-chosen documents a language; ``learn`` says which rows may be learnt from."""
     rows = docs.select(key, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows if learn is None else rows.where(learn)
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages; the model is bounded to {MAX_LANGUAGES}")
+        raise ValueError(f"over {MAX_LANGUAGES} languages: a model has one column of the vocabulary's length for each")
     if not sizes:
         return [], np.empty((0, 0))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, max_docs / n)))])

@@ -7,7 +7,7 @@
 3. Stars. In each bucket (documents with an equal band key) every class is paired with the smallest one only; so a
    bucket of n classes makes n - 1 pairs.
 4. Verification. Pairs whose signatures agree in under ``screen`` of the minima are dropped (0.8 - 0.2 is more than six standard errors at 180
-   minima); the others are confirmed on their full sets. Sets are fetched by one scan that a Bloom filter of fixed size prunes.
+   minima); the others are confirmed on their full sets. Sets are fetched by one scan that a Bloom filter of bounded size prunes.
 5. Components by alternating large-star and small-star.
 6. The rest. Two classes of one bucket may be linked without being linked to its smallest. Buckets of three or more that
    still hold several components are searched whole. Large ones first: their classes are dealt to blocks, every two blocks meet in one task,
@@ -19,7 +19,8 @@ At similarity 0.8 a pair misses every band with probability (1 - 0.8^5)^36 = 6e-
 
 Cases: null and empty texts have an empty set and are linked with nothing; a text of fewer words than a shingle is one
 shingle; rows that share a doc_id belong to one component; a row whose doc_id is null is linked with nothing and kept, its component null;
-repeated rows each give a row; an empty table gives none; extra columns are ignored, or kept by :func:`remove`.
+repeated rows each give a row, of which :func:`remove` leaves one; very long texts are shingled whole; an empty table gives none; extra
+columns are ignored, or kept by :func:`remove`.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from ._common import WordHashes, map_batches, settle, small_batches, written
 BANDS, ROWS = 36, 5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_BLOOM_BITS = 26  # 8 MB, whatever the corpus
+_BLOOM_BITS = 20, 28  # 16 bits an id within these limits, so 32 MB at most; beyond, it prunes less
 SMALL = 32  # members of a bucket whose pairs are made; larger ones are searched in blocks, just as completely
 BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
 
@@ -103,26 +104,28 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, set_hash binary, signature binary, keys array<long>", lambda: settle(_hashes))
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids: at most 2^20 words of 64 bits reach the driver, whatever their number."""
-    h = F.col("h")
-    bits = ids.select(F.xxhash64("doc_id").alias("h")).select(F.explode(F.array(*[F.pmod(F.shiftrightunsigned(h, s), F.lit(1 << _BLOOM_BITS)) for s in (0, 19, 38)])).alias("bit"))
+def _bloom(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the ids, and the bits of a place in it: at most 2^22 words of 64 bits reach the driver, whatever their number."""
+    h, low = F.col("h"), _BLOOM_BITS[0]
+    size = min(_BLOOM_BITS[1], max(low, (16 * ids.count()).bit_length()))
+    bits = ids.select(F.xxhash64("doc_id").alias("h")).select(F.explode(F.array(*[F.pmod(F.shiftrightunsigned(h, s), F.lit(1 << size)) for s in (0, 18, 36)])).alias("bit"))
     found = bits.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), CAST(bit % 64 AS INT))")).alias("bits"))
-    out = np.zeros(1 << (_BLOOM_BITS - 6), np.int64)
+    out = np.zeros(1 << (size - 6), np.int64)
     table = found.toPandas()
     out[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
-    return out
+    return size, out
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """doc_id, shingles (binary) of the documents whose ids are asked for: the Bloom filter prunes before the shuffle."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+    size_, filled = _bloom(ids)
+    bits = docs.sparkSession.sparkContext.broadcast(filled)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         h, words = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits.value
         hit = np.ones(len(h), bool)
-        for s in (0, 19, 38):
-            bit = (h >> np.uint64(s)) & np.uint64((1 << _BLOOM_BITS) - 1)
+        for s in (0, 18, 36):
+            bit = (h >> np.uint64(s)) & np.uint64((1 << size_) - 1)
             hit &= (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)).astype(np.int64) & 1) == 1
         if hit.any():
             part = batch.filter(pa.array(hit))
@@ -313,7 +316,7 @@ def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: i
     classes = written(classes, "classes")
     banded = classes.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
     buckets = written(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = written(banded.join(buckets, "key"), "members")
+    members = written(banded.join(buckets.hint("merge"), "key"), "members")  # a merge join, for adaptive execution splits its hot keys
     stars = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = written(_screened(stars, classes, screen), "stars")
     links = written(_confirmed(stars, docs, size, percent), "links")
@@ -335,6 +338,11 @@ def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: i
 
 
 def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, all columns kept: the rows that :func:`cluster` keeps."""
-    gone = cluster(docs, key=key, text=text, size=size, percent=percent).where(~F.col("kept")).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    """One document of each group, all columns kept: of the rows that :func:`cluster` keeps, one for each id that isn't null."""
+    found = cluster(docs, key=key, text=text, size=size, percent=percent)
+    kept = docs.join(found.where(~F.col("kept")).select(key).distinct(), key, "left_anti")
+    again = written(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, key, "left_semi").dropDuplicates([key])  # only rows whose id stands twice move
+    return kept.join(again, key, "left_anti").unionByName(once)

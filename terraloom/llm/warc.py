@@ -30,7 +30,7 @@ from ._common import fresh_path
 
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
-RECORDS_PER_FILE = 8192
+FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 8192
 MIN_REVISIT_BYTES = 1000
 
 RECORD = "record_id string, type string, target string, refers_to string, payload binary, payload_bytes long, payload_digest string, complete boolean"
@@ -46,9 +46,14 @@ def plan_revisits(pages: DataFrame, *, key: str = "page_id", url: str = "url", p
     """key, url, payload (binary), digest, size, first: the response's key for revisits, else null."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    shared = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("key").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "top")
-    first = F.when(F.col("top").isNotNull() & ~F.col("top").eqNullSafe(F.col("key")), F.col("top"))
-    return rows.join(shared, ["digest", "size"], "left").select("key", "url", "payload", "digest", "size", first.alias("first"))
+    large = rows.where(F.col("size") >= least).select("key", "digest", "size")
+    shared = large.groupBy("digest", "size").agg(F.max("key").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "top")
+    # payloads never meet by digest, where equal ones would gather in one task, but by page; a merge join of the ids, for adaptive execution splits its hot keys
+    again = large.join(shared.hint("merge"), ["digest", "size"]).where(~F.col("top").eqNullSafe(F.col("key")))
+    spread = F.xxhash64("key", "digest")
+    again = again.select(spread.alias("spread"), F.col("key").alias("_key"), F.col("digest").alias("_digest"), F.col("top").alias("first")).distinct()
+    same = (spread == F.col("spread")) & F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest"))
+    return rows.join(again, same, "left").select("key", "url", "payload", "digest", "size", "first")
 
 
 def write_archives(pages: DataFrame, path: str, *, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, **columns: str) -> None:
@@ -86,8 +91,10 @@ def write_archives(pages: DataFrame, path: str, *, segment_bytes: int = SEGMENT_
         line("Content-Length", F.octet_length(part).cast("string")),
         F.lit("\r\n"),
     )
+    each = pages.agg(F.avg(F.octet_length(columns.get("payload", "html")))).first()[0] or 0.0
+    most = max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / min(max(each, 1.0), segment_bytes))))  # archives are read whole
     # the text writer adds the last line feed of the record's end
-    rows.select(F.concat(header, _text(part), F.lit("\r\n\r")).alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(F.concat(header, _text(part), F.lit("\r\n\r")).alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 class _Bytes:

@@ -90,12 +90,24 @@ def test_bpe_equals_the_library(docs, odd, none):
         rows = df.select("doc_id", "text").collect()
         want = sorted([(r.doc_id, e.ids, library.decode(e.ids, skip_special_tokens=False)) for r, e in zip(rows, library.encode_batch([r.text or "" for r in rows], add_special_tokens=False))], key=str)
         assert sorted([(r.doc_id, r.ids, r.decoded) for r in bpe.encode(df, BPE).collect()], key=str) == want
-        for r in bpe.digests(df.where("doc_id = 4"), BPE).collect():
-            ids = library.encode(rows[4].text or "", add_special_tokens=False).ids
-            assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert sorted(map(tuple, bpe.digests(df, BPE).collect()), key=str) == sorted([(i, len(ids), sha(",".join(map(str, ids))), sha(text)) for i, ids, text in want], key=str)
     assert bpe.encode(none, BPE).count() == 0
 
 
+def test_bpe_refuses_what_it_would_encode_otherwise(tmp_path):
+    spec = json.load(open(BPE, encoding="utf-8"))
+    small = spec | {"model": spec["model"] | {"vocab": {k: v for k, v in spec["model"]["vocab"].items() if v < 256}, "merges": []}, "added_tokens": []}
+    odd = {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": None}, {"model": small["model"] | {"dropout": 0.1}}, {"model": small["model"] | {"ignore_merges": True}}
+    for k, change in enumerate(({}, *odd)):
+        (tmp_path / "t.json").write_text(json.dumps(small | change))
+        if k:
+            with pytest.raises(ValueError):
+                bpe.ByteBPE(str(tmp_path / "t.json"))
+        else:
+            assert bpe.ByteBPE(str(tmp_path / "t.json")).decode(bpe.ByteBPE(str(tmp_path / "t.json")).encode("aé")) == "aé"
+
+
 def test_bpe_random_texts():
     from tokenizers import Tokenizer
 
@@ -354,6 +366,13 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert sorted([(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got], key=str) == brute_components(rows, 4)
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "x"), (None, "x"), (3, ""), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component": F.lit(1), "count": F.lit(2)})
+    got = near_dedup.remove(df)
+    assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "a b c d e f"), (None, "x"), (None, "x"), (3, "")], key=str)
+
+
 def test_stars(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 60) if k % 20 != 19] + [(7, 7)], "a long, b long")
     assert {r.node: r.component for r in near_dedup.components(links).collect()} == {k: k // 20 * 20 for k in range(60)}
@@ -425,6 +444,14 @@ def test_toxicity_edges(spark, odd, none):
 # -- 8 ---------------------------------------------------------------------------------------------------------------
 
 
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(k, t, "en") for k, t in enumerate(["hello there my friend", "½ ² ③ Ⅷ", "123 _ ٣ !?", "日本", "a²", ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, PIECES, langid.train(df, PIECES)).collect()}
+    assert [got[k][0] for k in range(6)] == ["en", "und", "und", "en", "en", "und"] and got[1][1] == 0.0
+    assert langid.words_of("x²y ⅷ Ab_c") == ["x", "y", "ab", "c"]
+
+
 def test_forward_sums_all_segmentations():
     vocab = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}
     probs = np.array([[0.2, 0.3], [0.1, 0.2], [0.3, 0.1], [0.25, 0.3], [0.15, 0.1], [1e-7, 1e-7]])
