@@ -36,7 +36,7 @@ from ._common import small_batches, written
 from .batches import opened, packed_batches, planes, squeezed, unplaned, unsqueezed
 
 ORDER = 5
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 32 << 20
 GROUP = 1000
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _STEP = 1 << 20  # characters hashed together
