@@ -13,9 +13,15 @@ EARTH_RADIUS = 6378137.0
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
-    """A number in [0, 1) from a seed and keys: the same on every run, whatever the partitioning."""
+    """A number in [0, 1) from a seed and keys, by MD5: the same on every run and in any engine, whatever the partitioning."""
     columns = [F.col(k) if isinstance(k, str) else k for k in keys]
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") / F.lit(float(1 << 53))
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    """:func:`uniform` as DuckDB's SQL."""
+    return f"(CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
 
 
 def digits(x: Column, n: int) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import uniform
 from . import grid as grids
 from .network import Network, components, connected, percolate, rasterised, subgraph
+from .ranks import running
 from .runtime import cut
 
 
@@ -212,23 +213,22 @@ def triangle_points(polygons: DataFrame, n: int, *, seed: int = 0) -> DataFrame:
 
 
 def sample_with_replacement(df: DataFrame, n: int, key: str, weight: str | None = None, *, seed: int = 0) -> DataFrame:
-    """draw, key: n draws with probabilities by weight.
+    """draw, key: n draws with probabilities by weight. Keys are unique.
 
-    Keys are dealt to buckets; the few bucket totals make the coarse distribution function, each bucket makes its own, and a draw is joined
-    to its bucket only.
+    Running sums by ranges make the distribution function; it is cut into n slots of equal weight, a key stands in the slots that its
+    span touches (n + keys rows in all), and each draw meets only the keys of its slot.
     """
-    rows = df.select(F.col(key).alias("key"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).where("w > 0").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(1024)))
-    totals = rows.groupBy("bucket").agg(F.sum("w").alias("t")).orderBy("bucket").collect()  # 1024 rows at most
-    edge = np.cumsum([0.0, *(r.t for r in totals)])
-    spans = df.sparkSession.createDataFrame([(r.bucket, float(a)) for r, a in zip(totals, edge)], "bucket long, base double")
-    upto = F.sum("w").over(Window.partitionBy("bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cdf = rows.join(F.broadcast(spans), "bucket").withColumns({"high": F.col("base") + upto}).withColumn("low", F.col("high") - F.col("w"))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (uniform(seed, "id") * float(edge[-1])).alias("u"))
-    edges = F.array(*[F.lit(float(e)) for e in edge[1:]])
-    numbers = F.array(*[F.lit(r.bucket) for r in totals])
-    draws = draws.withColumn("bucket", F.get(numbers, F.least(F.size(F.filter(edges, lambda e: e <= F.col("u"))), F.lit(len(totals) - 1))))
-    hit = draws.join(cdf, "bucket").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-    return hit.select("draw", "key")
+    rows = df.select(F.col(key).alias("key"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).where("w > 0")
+    spans = running(rows, (), F.asc("key"), ["w"]).select("key", (F.col("w_upto") - F.col("w")).alias("low"), F.col("w_upto").alias("high"), F.col("w_total").alias("total"))
+    slot = lambda c: F.least(F.floor(F.col(c) / F.col("total") * n), F.lit(n - 1))
+    spans = cut(spans)
+    total = spans.agg(F.max("total").alias("total"))
+    cells = spans.withColumn("slot", F.explode(F.sequence(slot("low"), slot("high"))))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(seed, "id").alias("u")).crossJoin(F.broadcast(total))  # one row
+    draws = draws.select("draw", (F.col("u") * F.col("total")).alias("u"), F.least(F.floor(F.col("u") * n), F.lit(n - 1)).alias("slot"))
+    near = draws.withColumn("slot", F.explode(F.array("slot", F.col("slot") - 1, F.col("slot") + 1)))  # rounding may move an edge by one slot
+    hit = near.join(cells.select("slot", "key", "low", "high"), "slot").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    return hit.groupBy("draw").agg(F.min("key").alias("key"))
 
 
 def sample_without_replacement(df: DataFrame, n: int, keys: Sequence[str], weight: str | None = None, *, seed: int = 0) -> DataFrame:

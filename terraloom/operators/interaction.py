@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,11 @@ from ..functions.columns import exp_cost
 from .runtime import cut
 
 
+def _inverse(c: str) -> Column:
+    """1 / c, and 0 where a zone reaches no mass."""
+    return F.when(F.col(c) > 0, 1 / F.col(c)).otherwise(0.0)
+
+
 def singly_constrained(pairs: DataFrame, origins: DataFrame, destinations: DataFrame, *, origin_constraint: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """Flows of pairs (o, d, w, ...) with masses (o, mass), (d, mass): each origin's mass spread by w * destination mass, or the mirror image.
 
@@ -45,6 +51,8 @@ def fit_decay(pairs: DataFrame, origins: DataFrame, destinations: DataFrame, *,
         if all(abs(got[m] / want[m] - 1) <= threshold for m in want):
             break
         decay = {m: decay[m] * want[m] / got[m] if got[m] else decay[m] * 2 for m in want}
+    else:
+        warnings.warn(f"trip lengths differ by more than {threshold} after {rounds} rounds", stacklevel=2)
     return decay if by_mode else {"all": decay["all"]}
 
 
@@ -58,13 +66,15 @@ def doubly_constrained(pairs: DataFrame, origins: DataFrame, destinations: DataF
     a = None
     for k in range(rounds):
         reach = full.join(b, "d").groupBy("o").agg(F.sum(F.col("w") * F.col("b") * F.col("md")).alias("s"))
-        a = cut(origins.join(reach, "o").select("o", F.col("mass").alias("mo"), (1 / F.col("s")).alias("a")))
+        a = cut(origins.join(reach, "o").select("o", F.col("mass").alias("mo"), _inverse("s").alias("a")))
         back = full.join(a, "o").groupBy("d").agg(F.sum(F.col("w") * F.col("a") * F.col("mo")).alias("s"))
-        new = cut(b.join(back, "d").select("d", "md", (1 / F.col("s")).alias("b"), F.abs(F.col("b") * F.col("s") - 1).alias("gap")))
+        new = cut(b.join(back, "d").select("d", "md", _inverse("s").alias("b"), F.abs(F.col("b") * F.col("s") - 1).alias("gap")))
         gap = new.agg(F.max("gap")).first()[0]
         b = new.drop("gap")
         if gap is None or gap <= tolerance or math.isnan(gap):
             break
+    else:
+        warnings.warn(f"margins are off by {gap} after {rounds} rounds", stacklevel=2)
     return full.join(a, "o").join(b, "d").select("o", "d", (F.col("w") * F.col("a") * F.col("mo") * F.col("b") * F.col("md")).alias("flow"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -17,6 +18,7 @@ from ..functions.columns import uniform
 from . import generators, grid
 from .matrix import solve
 from .network import Network
+from .ranks import numbered
 from .runtime import cut
 
 
@@ -120,6 +122,59 @@ def swarm_step(agents: DataFrame, world: float, *, seed: int, t: int) -> DataFra
     return rows.withColumns({"x": inside("x", "dx"), "y": inside("y", "dy")}).select(*agents.columns)
 
 
+def swarm_indicators(agents: DataFrame) -> DataFrame:
+    """Mean and standard deviation of the genes c1, c2 and c3."""
+    return agents.agg(*[f(c).alias(f"{c}_{n}") for c in ("c1", "c2", "c3") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+
+
+def ranked_agents(agents: DataFrame) -> DataFrame:
+    """agent, rank_x, rank_y: places in the order of x and of y, from 0, ties by agent; by ranges, not in one task."""
+    by = lambda axis: numbered(agents.select("agent", axis), F.struct(axis, "agent").asc(), f"rank_{axis}").select("agent", f"rank_{axis}")
+    return by("x").join(by("y"), "agent")
+
+
+#: The genes of swarm agents and their upper bounds, in order.
+GENES = (("radius", 300.0), ("normal", 20.0), ("most", 40.0), ("c1", 1.0), ("c2", 1.0), ("c3", 100.0), ("c4", 0.5), ("c5", 1.0))
+
+
+def bounded_genes(agents: DataFrame) -> DataFrame:
+    """Genes cut to their bounds; the normal speed is at most the greatest."""
+    held = agents.withColumns({name: F.least(F.greatest(F.col(name).cast("double"), F.lit(0.0)), F.lit(top)) for name, top in GENES})
+    return held.withColumn("normal", F.least("normal", "most"))
+
+
+def read_recipe(text: str) -> list[tuple[int, tuple[float, ...]]]:
+    """A recipe's lines ``count * (gene, gene, ...)`` as counts and genes; other lines are passed over."""
+    found = re.findall(r"^\s*(\d+)\s*\*\s*\(([^)]*)\)", text, re.M)
+    rows = [(int(n), tuple(float(x) for x in genes.split(","))) for n, genes in found]
+    if any(len(genes) != len(GENES) for _, genes in rows):
+        raise ValueError(f"a recipe's lines have {len(GENES)} genes")
+    return rows
+
+
+def recipe_text(agents: DataFrame) -> DataFrame:
+    """n, line: a recipe line for each distinct set of genes, counted."""
+    names = [name for name, _ in GENES]
+    genes = F.concat_ws(", ", *[F.format_string("%.2f", F.col(c)) for c in names])
+    return agents.groupBy(*names).agg(F.count("*").alias("n")).select("n", F.concat(F.col("n").cast("string"), F.lit(" * ("), genes, F.lit(")")).alias("line"))
+
+
+def recipe_agents(spark: SparkSession, text: str, world: float, *, seed: int = 0) -> DataFrame:
+    """The agents of a recipe, at random places on the torus and at rest."""
+    names = [name for name, _ in GENES]
+    kinds = spark.createDataFrame([(k, n, *genes) for k, (n, genes) in enumerate(read_recipe(text))], "kind int, n int, " + ", ".join(f"{c} double" for c in names))
+    each = kinds.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    numbered_ = numbered(each, F.struct("kind", "k").asc(), "agent")
+    place = lambda axis: (uniform(seed, "agent", F.lit(axis)) * world).alias(axis)
+    return bounded_genes(numbered_.select("agent", place("x"), place("y"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), *names))
+
+
+def mutated(agents: DataFrame, rate: float, *, seed: int = 0) -> DataFrame:
+    """Each gene multiplied by a uniform factor in [0.8, 1.2) with probability ``rate``, then bounded."""
+    change = lambda c: F.when(uniform(seed, "agent", F.lit(c)) < rate, F.col(c) * (0.8 + 0.4 * uniform(seed + 1, "agent", F.lit(c)))).otherwise(F.col(c))
+    return bounded_genes(agents.withColumns({name: change(name) for name, _ in GENES}))
+
+
 def parameter_grid(spark: SparkSession, values: Mapping[str, Sequence[float]], replications: int = 1) -> DataFrame:
     """run and a column a parameter: the full factorial design."""
     rows = [(k, *map(float, v)) for k, v in enumerate(x for x in itertools.product(*values.values()) for _ in range(replications))]

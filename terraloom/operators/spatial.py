@@ -91,6 +91,69 @@ def polygons_in_box(polygons: DataFrame, xmin: float, ymin: float, xmax: float,
     return clipped(near.select("id", "ring"), xmin, ymin, xmax, ymax).where(F.size("ring") > 2).withColumn("area", ring_area(F.col("ring")))
 
 
+def _areas(batches: Iterator[pa.RecordBatch], side: float, x0: float, y0: float) -> Iterator[pa.RecordBatch]:
+    """Key columns ending in i and j, and ``area``: each ring (the last column) cut to its cell."""
+    for batch in batches:
+        i, j, rings = (c.to_pylist() for c in batch.columns[-3:])
+        areas = []
+        for a, b, ring in zip(i, j, rings):
+            points = [(p["x"], p["y"]) for p in ring]
+            points = points[:-1] if len(points) > 1 and points[0] == points[-1] else points
+            part = _clipped(points, (x0 + a * side, y0 + b * side, x0 + (a + 1) * side, y0 + (b + 1) * side))
+            areas.append(abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(part, part[1:] + part[:1]))) / 2)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(areas, pa.float64())], names=[*batch.schema.names[:-1], "area"])
+
+
+def covered_cells(polygons: DataFrame, x0: float, y0: float, side: float, height: int, width: int, *, least: float = 0.0) -> DataFrame:
+    """grid_id, i, j, v, share of a raster of polygons: v is 1 where they cover more than ``least`` of a cell, i along x.
+
+    Each polygon meets only the cells that its bounds touch, and is cut to each. Shares of polygons that overlap add up.
+    """
+    at = lambda c, low, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - low) / side).cast("int")))
+    near = with_bounds(polygons.select("ring")).where((F.col("xmax") > x0) & (F.col("ymax") > y0) & (F.col("xmin") < x0 + height * side) & (F.col("ymin") < y0 + width * side))
+    cells = near.withColumn("i", F.explode(F.sequence(at("xmin", x0, height), at("xmax", x0, height)))).withColumn("j", F.explode(F.sequence(at("ymin", y0, width), at("ymax", y0, width))))
+
+    shares = cells.select("i", "j", "ring").mapInArrow(lambda b: _areas(b, side, x0, y0), "i int, j int, area double").groupBy("i", "j").agg((F.sum("area") / (side * side)).alias("share"))
+    k = F.col("id")
+    blank = polygons.sparkSession.range(height * width).select(F.lit(0).alias("grid_id"), F.floor(k / width).cast("int").alias("i"), (k % width).cast("int").alias("j"))
+    share = F.coalesce("share", F.lit(0.0))
+    return blank.join(shares, ["i", "j"], "left").select("grid_id", "i", "j", F.when(share > least, 1.0).otherwise(0.0).alias("v"), share.alias("share"))
+
+
+def inside_mask(polygons: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """The polygons whose bounds lie strictly inside a box."""
+    inside = (F.col("xmin") > xmin) & (F.col("ymin") > ymin) & (F.col("xmax") < xmax) & (F.col("ymax") < ymax)
+    return with_bounds(polygons).where(inside).select(*polygons.columns)
+
+
+def sampled_windows(layer: DataFrame, n: int, side: float, *, seed: int = 0) -> DataFrame:
+    """id, x, y, ring of n square windows whose centres lie in the layer's convex polygons (id, ring), uniform by area."""
+    from .generators import triangle_points
+
+    corner = lambda a, b: F.struct((F.col("x") + a * side / 2).alias("x"), (F.col("y") + b * side / 2).alias("y"))
+    return triangle_points(layer, n, seed=seed).select("id", "x", "y", F.array(*[corner(a, b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]).alias("ring"))
+
+
+def sampled_grids(layer: DataFrame, polygons: DataFrame, n: int, side: float, cells: int, *, least: float = 0.0, seed: int = 0) -> DataFrame:
+    """grid_id, i, j, v: rasters of the polygons in n windows of the layer, ``cells`` cells a side.
+
+    All windows are one set of boxes: each polygon meets the windows that its bounds overlap, then their cells.
+    """
+    windows = sampled_windows(layer, n, side, seed=seed)
+    met = boxes_overlapping(windows.select("id", "ring"), polygons.select("id", "ring"), side)
+    step = side / cells
+    low = windows.select(F.col("id").alias("a"), (F.col("x") - side / 2).alias("wx"), (F.col("y") - side / 2).alias("wy"))
+    moved = met.join(low, "a").join(polygons.select(F.col("id").alias("b"), "ring"), "b")
+    moved = moved.select("a", F.transform("ring", lambda p: F.struct(((p["x"] - F.col("wx")) / step).alias("x"), ((p["y"] - F.col("wy")) / step).alias("y"))).alias("ring"))
+    at = lambda c: F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor(F.col(c)).cast("int")))
+    rows = with_bounds(moved).withColumn("i", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("j", F.explode(F.sequence(at("ymin"), at("ymax"))))
+
+    shares = rows.select(F.col("a").alias("grid_id"), "i", "j", "ring").mapInArrow(lambda b: _areas(b, 1.0, 0.0, 0.0), "grid_id long, i int, j int, area double").groupBy("grid_id", "i", "j").agg(F.sum("area").alias("share"))
+    k = F.col("id")
+    blank = layer.sparkSession.range(n * cells * cells).select(F.floor(k / (cells * cells)).alias("grid_id"), (F.floor(k / cells) % cells).cast("int").alias("i"), (k % cells).cast("int").alias("j"))
+    return blank.join(shares, ["grid_id", "i", "j"], "left").select("grid_id", "i", "j", F.when(F.coalesce("share", F.lit(0.0)) > least, 1.0).otherwise(0.0).alias("v"))
+
+
 # -- OSM tables ----------------------------------------------------------------------------------------------------
 
 

@@ -137,6 +137,16 @@ def average_distance(pops: DataFrame, distances: DataFrame) -> DataFrame:
     return pairs.crossJoin(pops.agg(F.sum("pop").alias("P"))).select((F.col("s") / (F.col("P") * F.col("P"))).alias("average_distance"))
 
 
+def from_files(spark: SparkSession, populations: str, distances: str, dates: str, *, sep: str = ",") -> tuple[DataFrame, DataFrame, list[float]]:
+    """(t, city, pop), (i, j, d) and the dates of a system of cities from matrix files: a row a city and a column a date; a square of distances; one date a line."""
+    from ..sources.tables import read_matrix
+
+    days = [r.v for r in read_matrix(spark, dates, sep=sep).orderBy("i").collect()]  # a few dates
+    days_at = F.array(*[F.lit(float(x)) for x in days])
+    pops = read_matrix(spark, populations, sep=sep).select(F.get(days_at, F.col("j")).alias("t"), F.col("i").alias("city"), F.col("v").alias("pop"))
+    return pops, read_matrix(spark, distances, sep=sep).withColumnRenamed("v", "d"), days
+
+
 # -- economic exchanges --------------------------------------------------------------------------------------------
 
 
@@ -170,6 +180,12 @@ def run_exchanges(initial: DataFrame, distances: DataFrame, steps: int, **parame
     return out.select("t", "city", "pop", "wealth")
 
 
+def rescaled_wealth(cities: DataFrame) -> DataFrame:
+    """(city, pop, wealth) with wealth rescaled to the total population."""
+    totals = cities.agg(F.sum("pop").alias("_p"), F.sum("wealth").alias("_w"))
+    return cities.crossJoin(F.broadcast(totals)).select("city", "pop", F.when(F.col("_w") > 0, F.col("wealth") * F.col("_p") / F.col("_w")).otherwise(0.0).alias("wealth"))
+
+
 # -- innovation ----------------------------------------------------------------------------------------------------
 
 
@@ -192,6 +208,25 @@ def new_innovations(shares: DataFrame, pops: DataFrame, *, rate: float, hierarch
     return kept.unionByName(new.withColumn("share", F.lit(early)))
 
 
+def early_adopters(shares: DataFrame, cities: DataFrame, innovation: int, utility: float, early: float) -> DataFrame:
+    """The shares after a new innovation, which the cities (city) adopt with the share ``early`` and the others not at all; other shares there shrink to make room."""
+    chosen = cities.select("city", F.lit(True).alias("_new")).distinct()
+    old = shares.join(chosen, "city", "left").withColumn("share", F.when(F.col("_new"), F.col("share") * (1 - early)).otherwise(F.col("share"))).select(*shares.columns)
+    every = shares.select("city").distinct().join(chosen, "city", "left")
+    new = every.select(F.lit(innovation).cast(shares.schema["innovation"].dataType).alias("innovation"), "city", F.lit(float(utility)).alias("utility"), F.when(F.col("_new"), early).otherwise(0.0).alias("share"))
+    return old.unionByName(new)
+
+
+def innovation_rate(states: DataFrame) -> DataFrame:
+    """Innovations made a city and step, of (t, innovation, city, ...): distinct innovations over cities times steps."""
+    return states.agg((F.countDistinct("innovation") / (F.countDistinct("city") * F.countDistinct("t"))).alias("rate"))
+
+
+def mean_flow(flows: DataFrame) -> DataFrame:
+    """Mean over steps of the mean potential of (t, i, j, potential)."""
+    return flows.groupBy("t").agg(F.avg("potential").alias("m")).agg(F.avg("m").alias("flow"))
+
+
 def innovation_step(shares: DataFrame, pops: DataFrame, distances: DataFrame, *, innovation_decay: float, gravity_decay: float, growth: float, weight: float, gamma: float, dt: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """New shares and populations: diffusion, then gravity growth scaled by a technology factor exp(sum of share * ln(share) * adoption)."""
     spread = cut(diffuse_innovations(shares, pops, distances, innovation_decay))

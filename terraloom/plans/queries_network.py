@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import uniform
+from ..functions.columns import uniform_sql as u
 from ..operators import generators, network
 from . import tables as t
 from .registry import query, r
@@ -17,6 +19,17 @@ comp AS (SELECT id, min(root) component FROM walk GROUP BY 1)"""
 _DIST = """d0 AS (SELECT src i, dst j, length d FROM edges UNION ALL SELECT dst, src, length FROM edges UNION ALL SELECT id, id, CAST(0 AS DOUBLE) FROM n),
 """ + ",\n".join(f"d{k} AS (SELECT a.i, b.j, min(a.d + b.d) d FROM d{k - 1} a JOIN d{k - 1} b ON a.j = b.i GROUP BY 1, 2)" for k in range(1, 6))
 _ALL = f"WITH RECURSIVE {t.EDGES}, {_NODES}"
+#: The minimum spanning tree: a pair is in it if no way around has only shorter pairs (five min-max squarings).
+_TREE = "m0 AS (SELECT i, j, d FROM far),\n" + ",\n".join(f"m{k} AS MATERIALIZED (SELECT a.i, b.j, min(greatest(a.d, b.d)) d FROM m{k - 1} a JOIN m{k - 1} b ON a.j = b.i GROUP BY 1, 2)" for k in range(1, 6)) + """,
+tree AS (SELECT far.i src, far.j dst, far.d length FROM far JOIN m5 ON far.i = m5.i AND far.j = m5.j WHERE far.i < far.j AND far.d <= m5.d + 1e-12)"""
+#: Nations a little off their places, so that no two distances are equal.
+_MOVED = f"moved AS (SELECT city, x + {u(21, 'city')} / 20 x, y + {u(22, 'city')} / 20 y FROM zones), far AS (SELECT a.city i, b.city j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) d FROM moved a CROSS JOIN moved b)"
+_JOLTED = f"jolted AS (SELECT src, dst, length * (1 + {u(23, 'src', 'dst')} / 10) length FROM edges)"
+
+
+def _moved(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda c, seed: (F.col(c) + uniform(seed, "city") / 20).alias(c)
+    return t.zones(spark, d).select(F.col("city").alias("id"), at("x", 21), at("y", 22))
 
 
 @query(f"{_ALL} SELECT src, dst, round(length, 6) length FROM edges")
@@ -121,9 +134,13 @@ def net_planarised(spark: SparkSession, d: str) -> DataFrame:
     return network.planarised(t.network(spark, d), 0.2).links
 
 
-@query()
+@query(f"""{_ALL}, {_JOLTED}, {_DIST.replace('edges', 'jolted')}, e AS (SELECT src, dst, src a, dst b, length FROM jolted UNION ALL SELECT src, dst, dst, src, length FROM jolted),
+used AS (SELECT src, dst, count(*) n FROM e JOIN d5 x ON x.j = a JOIN d5 y ON y.i = b JOIN d5 z ON z.i = x.i AND z.j = y.j WHERE z.i <> z.j AND x.d + length + y.d <= z.d + 1e-9 GROUP BY 1, 2)
+SELECT edges.src, edges.dst, round(coalesce(n, 0) / (SELECT count(*) FROM d5 WHERE i <> j), 6) betweenness FROM edges LEFT JOIN used ON edges.src = used.src AND edges.dst = used.dst""")
 def net_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return network.betweenness(t.network(spark, d), cost="length")
+    net = t.network(spark, d)
+    jolted = net.with_(links=net.links.withColumn("length", F.col("length") * (1 + uniform(23, "src", "dst") / 10)))
+    return network.betweenness(jolted, cost="length").select("src", "dst", r("betweenness", "betweenness"))
 
 
 @query()
@@ -136,15 +153,15 @@ def net_simplified(spark: SparkSession, d: str) -> DataFrame:
     return network.simplified(t.network(spark, d)).links
 
 
-@query()
+@query(f"WITH {t.ZONES}, {_MOVED}, {_TREE} SELECT src, dst, round(length, 6) length FROM tree")
 def net_tree(spark: SparkSession, d: str) -> DataFrame:
-    return generators.tree_network(t.zones(spark, d).withColumnRenamed("city", "id")).links
+    return generators.tree_network(_moved(spark, d)).links.select("src", "dst", r("length", "length"))
 
 
-@query()
+@query(f"""WITH {t.ZONES}, {_MOVED}, {_TREE}, more AS (SELECT i src, j dst, d length FROM far ANTI JOIN tree ON i = src AND j = dst WHERE i < j AND d <= 0.3),
+top AS (SELECT * FROM more ORDER BY -ln(1 - {u(3, "src", "dst")}), src, dst LIMIT 10) SELECT src, dst, round(length, 6) length FROM tree UNION ALL SELECT src, dst, round(length, 6) FROM top""")
 def net_local_links(spark: SparkSession, d: str) -> DataFrame:
-    nodes = t.zones(spark, d).withColumnRenamed("city", "id")
-    return generators.local_links(generators.tree_network(nodes), 10, 0.3, seed=3).links
+    return generators.local_links(generators.tree_network(_moved(spark, d)), 10, 0.3, seed=3).links.select("src", "dst", r("length", "length"))
 
 
 @query("""WITH c AS (SELECT k, k // 5 x, k % 5 y FROM (SELECT unnest(generate_series(0, 24)) k))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
+from ..functions.columns import uniform_sql as u
 from ..operators import generators, grid, points, spatial
 from . import tables as t
 from .registry import query, r
@@ -180,9 +181,12 @@ def points_gwr(spark: SparkSession, d: str) -> DataFrame:
     return points.weighted_regression(rows.select("id", "x", "y", F.col("x").alias("u"), "v"), "u", "v", 0.2).select("id", r("slope", "slope", 2))
 
 
-@query()
+@query(f"""WITH {t.POINTS}, p AS (SELECT x + {u(24, "id")} / 20 x, y + {u(25, "id")} / 20 y FROM points), e AS (SELECT a.x x1, a.y y1, b.x x2, b.y y2, a.x * b.y - b.x * a.y c FROM p a JOIN p b ON a.x <> b.x OR a.y <> b.y
+WHERE NOT EXISTS (SELECT 1 FROM p q WHERE NOT (q.x = a.x AND q.y = a.y) AND NOT (q.x = b.x AND q.y = b.y) AND ((b.x - a.x) * (q.y - a.y) - (b.y - a.y) * (q.x - a.x) < 0 OR ((b.x - a.x) * (q.y - a.y) = (b.y - a.y) * (q.x - a.x) AND (q.x - a.x) * (q.x - b.x) + (q.y - a.y) * (q.y - b.y) > 0))))
+SELECT round(sum(c) / 2, 6) area, round(sum((x1 + x2) * c) / (3 * sum(c)), 6) cx, round(sum((y1 + y2) * c) / (3 * sum(c)), 6) cy FROM e""")
 def points_hull(spark: SparkSession, d: str) -> DataFrame:
-    return points.hull(t.points(spark, d))
+    moved = t.points(spark, d).withColumns({"x": F.col("x") + fn.uniform(24, "id") / 20, "y": F.col("y") + fn.uniform(25, "id") / 20})  # no three in a line
+    return points.hull(moved).select(r("area", "area"), r("cx", "cx"), r("cy", "cy"))
 
 
 @query()
@@ -247,12 +251,14 @@ def rank_size_law(spark: SparkSession, d: str) -> DataFrame:
     return generators.rank_size_values(spark, 200, 0.9, 1000).select("rank", r("v", "v"))
 
 
-@query()
+@query(f"SELECT grid_id, i, j, CASE WHEN {u(1, 'grid_id', 'i', 'j')} < 0.3 THEN 1.0 ELSE 0.0 END v FROM (SELECT CAST(unnest(generate_series(0, 19)) AS INT) i), (SELECT CAST(unnest(generate_series(0, 19)) AS INT) j), (SELECT CAST(unnest(generate_series(0, 2)) AS INT) grid_id)")
 def generated_random(spark: SparkSession, d: str) -> DataFrame:
     return generators.random_grid(spark, 20, 20, occupied=0.3, samples=3, seed=1)
 
 
-@query()
+@query(f"""WITH b AS (SELECT CAST(unnest(generate_series(0, 4)) AS INT) block), d AS (SELECT CAST(floor({u(2, "0", "block", "'i'")} * 50) AS INT) i0, CAST(floor({u(2, "0", "block", "'j'")} * 50) AS INT) j0,
+CAST(floor({u(2, "0", "block", "'h'")} * 6) AS INT) + 5 h, CAST(floor({u(2, "0", "block", "'w'")} * 6) AS INT) + 5 w FROM b), c AS (SELECT i, j FROM (SELECT CAST(unnest(generate_series(0, 49)) AS INT) i), (SELECT CAST(unnest(generate_series(0, 49)) AS INT) j))
+SELECT 0 grid_id, i, j, CAST((SELECT count(*) FROM d WHERE i BETWEEN i0 - h // 2 AND i0 - h // 2 + h - 1 AND j BETWEEN j0 - w // 2 AND j0 - w // 2 + w - 1) AS DOUBLE) v FROM c""")
 def generated_blocks(spark: SparkSession, d: str) -> DataFrame:
     return generators.blocks_grid(spark, 50, 50, 5, 5, 10, seed=2)
 
@@ -277,17 +283,21 @@ def generated_percolation(spark: SparkSession, d: str) -> DataFrame:
     return generators.percolation_grid(spark, 20, 0.4, seed=6)
 
 
-@query()
+@query(f"""WITH c AS (SELECT i, j, 2 * exp(-sqrt(CAST((i - 5) * (i - 5) + (j - 5) * (j - 5) AS DOUBLE)) / 3) m FROM (SELECT CAST(unnest(generate_series(0, 9)) AS INT) i), (SELECT CAST(unnest(generate_series(0, 9)) AS INT) j)),
+p AS (SELECT i, j, k, sum(exp(-m) * power(m, k) / gamma(k + 1)) OVER (PARTITION BY i, j ORDER BY k) f, {u(7, "i", "j")} u FROM c, (SELECT unnest(generate_series(0, 30)) k)),
+n AS (SELECT i, j, count(*) FILTER (u >= f) n FROM p GROUP BY 1, 2), q AS (SELECT i, j, CAST(unnest(generate_series(1, n)) AS INT) k FROM n)
+SELECT round(i + {u(7, "i", "j", "k", "'x'")}, 6) x, round(j + {u(7, "i", "j", "k", "'y'")}, 6) y FROM q""")
 def generated_points(spark: SparkSession, d: str) -> DataFrame:
-    return generators.field_points(generators.mixture_grid(spark, 10, 10, [(5, 5)], 3.0, 2.0), seed=7)
+    return generators.field_points(generators.mixture_grid(spark, 10, 10, [(5, 5)], 3.0, 2.0), seed=7).select(r("x", "x"), r("y", "y"))
 
 
-@query()
+@query(f"""WITH k AS (SELECT c_custkey k, c_acctbal w, sum(c_acctbal) OVER (ORDER BY c_custkey) high FROM customer WHERE c_acctbal > 0), t AS (SELECT sum(w) total FROM k),
+d AS (SELECT draw, {u(8, "draw")} * total u FROM (SELECT unnest(generate_series(0, 499)) draw), t) SELECT draw, k "key" FROM d JOIN k ON u >= high - w AND u < high""")
 def sampled_customers(spark: SparkSession, d: str) -> DataFrame:
     rows = t.table(spark, d, "customer").where("c_acctbal > 0")
     return generators.sample_with_replacement(rows, 500, "c_custkey", "c_acctbal", seed=8)
 
 
-@query()
+@query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 0 ORDER BY -ln(1 - {u(9, 'o_orderkey')}) / o_totalprice, o_orderkey LIMIT 100")
 def sampled_orders(spark: SparkSession, d: str) -> DataFrame:
     return generators.sample_without_replacement(t.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, ["o_orderkey"], "o_totalprice", seed=9)

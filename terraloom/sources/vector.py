@@ -138,9 +138,11 @@ def read_geopackage(spark: SparkSession, path: str, table: str, attributes: Sequ
 
 
 def write_geopackage(points: DataFrame, path: str, table: str, attributes: Sequence[str] = (), *, limit: int = 10_000_000) -> None:
-    """Points (x, y, attributes) to a local GeoPackage in EPSG:4326; one file has one writer, which streams from the executors, for at most ``limit`` rows."""
-    Path(path).unlink(missing_ok=True)
-    db = sqlite3.connect(path)
+    """Points (x, y, attributes) to a GeoPackage in EPSG:4326. One file has one writer: it streams from the executors to a file of the driver, which is then
+    copied to ``path`` in any store; at most ``limit`` rows."""
+    spark = points.sparkSession
+    local = Path(tempfile.mkdtemp(prefix="terraloom-")) / "layer.gpkg"
+    db = sqlite3.connect(local)
     db.executescript(
         "PRAGMA application_id = 1196444487;"
         "CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT, srs_id INTEGER PRIMARY KEY, organization TEXT, organization_coordsys_id INTEGER, definition TEXT, description TEXT);"
@@ -158,6 +160,9 @@ def write_geopackage(points: DataFrame, path: str, table: str, attributes: Seque
         db.execute(f'INSERT INTO "{table}" VALUES (NULL, ?{", ?" * len(attributes)})', (blob, *[None if v is None else str(v) for v in row[2:]]))
     db.commit()
     db.close()
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    named(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, named(f"file://{local}"), named(path))
+    local.parent.rmdir()
 
 
 def epsg_of(prj: str) -> str | None:
