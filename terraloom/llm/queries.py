@@ -39,6 +39,17 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') s FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) i FROM w)),
+hit AS (SELECT doc_id, i FROM win JOIN (SELECT s, min(doc_id) m FROM win GROUP BY s) USING (s) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) p FROM hit),
+each AS (SELECT doc_id, unnest(words) word, generate_subscripts(words, 1) p FROM w),
+kept AS (SELECT doc_id, count(*) n, string_agg(word, ' ' ORDER BY p) t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(words)::BIGINT n_words, (len(words) - coalesce(n, 0))::BIGINT n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents"))
 
@@ -47,6 +58,19 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"), size=4)
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') s FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 3, least(len(words), 1)))) i FROM w)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+walk(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT b, root FROM walk JOIN ways ON doc_id = a),
+c AS (SELECT doc_id, min(root) component_id FROM walk GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT n_shingles, component_id, doc_id = component_id kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql("SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(id AS BIGINT) AS turn, IF(id = 0, 'user', 'assistant') AS role, '" + said + "' AS text FROM range(2)")
@@ -107,4 +131,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontam": op10_decontam,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op6_chat": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_substring": OP3_SQL, "op5_minhash": OP5_SQL, "op6_chat": OP6_SQL}
