@@ -51,6 +51,8 @@ CONTEXT = {
 }
 FEATURES = ("kind", "digits", "length", "other", "bracket", "luhn", "variety", "glued_before", "glued_after", "context", "assigned", "groups", "octets", "words")
 _MARK, _BLOCK = "\x01", 256
+#: Scores are sums of a few leaves, which a query adds up in another order: equal ones may differ in the last digits.
+_SLACK = 1e-6
 
 
 def _digits(value: Column) -> Column:
@@ -165,7 +167,7 @@ def _examples(seed: int) -> list[tuple[str, str, str, str, int]]:
         a, b, c = num(3), num(3), num(4)
         out.append(("phone", f"{text()} {r.choice([say['phone'], ''])} ", r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}"]), f" {text()}", 1))
         out.append(("phone", f"{text()} {say['phone']} ", f"{a}.{b}.{c}", f" {text()}", 1))
-        out.append(("phone", f"{text()} {say['phone']}: ", f"00{r.randint(1, 9)}{r.randint(0, 9)} {num(3)} {num(7)}", f" {text()}", 1))
+        out.append(("phone", f"{text()} {r.choice([say['phone'] + ': ', ''])}", f"00{r.randint(1, 9)}{r.randint(0, 9)} {num(3)} {num(7)}", f" {text()}", 1))
         out.append(("phone", r.choice([f"{text()} {word()}=", f"{text()} #", f"{word()}"]), f"{a}-{b}-{c}", r.choice([f"{word()}", "-x"]), 0))
         out.append(("phone", f"{text()} ", f"{a} {b} {c}", f" {num(3)} {text()}", 0))
         out.append(("phone", f"{text()} = ", f"00{num(1)}{r.randint(1, 9)}{num(9)}", f" {text()}", 0))
@@ -227,7 +229,7 @@ def _model(key: int = 9) -> tuple[list, dict[str, float]]:
         order = np.argsort(-s, kind="stable")
         precision = np.cumsum(t[order]) / np.arange(1, len(s) + 1)
         good = np.flatnonzero((precision >= 0.98) & (np.r_[s[order][1:] < s[order][:-1], True]))
-        least[k] = float(max(s[order][good[-1]], 0.0)) if len(good) else float("inf")
+        least[k] = float(max(s[order][good[-1]], 0.0)) - _SLACK if len(good) else float("inf")
     return trees, least
 
 
