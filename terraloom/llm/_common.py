@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,44 +14,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.runtime import cut, fresh_path
+
+__all__ = ["WORD_GAP", "WordHashes", "bucketed", "crc_mod", "fresh_path", "map_batches", "settle", "small_batches", "table", "unit_hash", "written"]
+
 #: ASCII white space as the contracts define it; ``bytes.split()`` splits at the same six characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
 _tables: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set to a local one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='terraloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/terraloom-{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table through Hadoop's file system API, so that any store works."""
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def _clean() -> None:
-    for spark, path in _written:
-        if spark.sparkContext._jsc is not None:
-            remove(spark, path)
     for spark, name in _tables:
         if spark.sparkContext._jsc is not None:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -60,9 +32,7 @@ def _clean() -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
 def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
@@ -70,6 +40,8 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     called = f"terraloom_{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, column).option("path", path).saveAsTable(called)
+    if not _tables:
+        atexit.register(_clean)
     _tables.append((spark, called))
     return spark.table(called)
 

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terraloom.llm import decontam, near_dedup
@@ -46,8 +47,31 @@ def test_pipeline(spark):
             assert leaks and {r.doc_id for r in out.collect()} == {r.doc_id for r in state.collect()} - leaks
         state = out
     last = corpus_pipeline.run(spark, SF)
-    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
-    assert last.count() == state.count() and last.where("n_tokens <> size(ids)").count() == 0
+    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "lossless"]
+    assert last.count() == state.count() and last.where("n_tokens <> size(ids) OR NOT lossless").count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = docs.where("lang = 'en' AND length(text) > 500").orderBy("doc_id").limit(20).collect()
+    text = [r.text for r in good]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(text)] + [(100, None, "en", "s", 0), (101, "", None, "s", 0), (102, " \n", "en", None, 2), (103, text[0], None, None, None), (None, text[1], "en", "s", 1)]
+    rows += [(0, text[0], "en", "s", len(text[0]))] * 2 + [(104, " ".join(text) * 10, "en", "s", None), (None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.withColumns({c: F.lit(7) for c in ("n", "keys", "component", "component_id", "kept", "ids", "score", "spans", "loss", "item_id", "decoded", "count", "h", "batch")})
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        kept[name] = sorted((r.doc_id for r in out.select("doc_id").collect()), key=str)
+        assert name == "encoded" or out.columns == odd.columns
+    every = sorted((r[0] for r in rows), key=str)
+    assert kept["language"] == sorted([k for k in every if k not in (100, 101, 102, None)] + [None], key=str)
+    assert kept["near_duplicates"] == sorted([*range(20), 100, 101, 102, 104, None, None], key=str)
+    assert kept["without_personal_data"] == every and kept["encoded"] == every
+    assert {100, 101, 102} <= set(kept["decontaminated"])
+    hidden = {r.doc_id: r for r in corpus_pipeline.without_personal_data(spark, odd, SF).collect()}
+    assert hidden[100].text is None and hidden[101].text == "" and hidden[104].n_chars is None
 
 
 def test_pipeline_on_nothing(spark):
