@@ -203,7 +203,7 @@ def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     """key, id, c, n of the members of the buckets that hold several components."""
     placed = members.join(comp, members["id"] == comp["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    return written(placed.join(mixed, "key"), "mixed")
+    return written(placed.join(mixed.hint("merge"), "key"), "mixed")  # hot keys are split, as above
 
 
 def _across(small: DataFrame, classes: DataFrame, screen: float) -> DataFrame:
