@@ -16,21 +16,19 @@ Letters are those of Unicode's categories L; digits, superscripts and Roman nume
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_batches, settle, small_batches, unit_hash
 
-#: Word characters that are neither letters nor decimal digits: superscripts, fractions, Roman numerals and the like.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _UNKNOWN = 1e-7  # of a character that is no piece, in every language
 _MOST_WORDS = 350_000
 _CELLS = 200_000
