@@ -1,17 +1,19 @@
 """Grids in long form: grid_id, i, j, v. Measures, neighbourhood operators and convolutions, for many grids in one job.
 
 Cell-wise and neighbourhood operators are relational and split a single large grid over all tasks. Measures that need all pairs of cells
-(Moran, mean distance, flows) are convolutions: a grid is one group of ``applyInArrow`` and costs n log n by FFT, so a grid must fit
-a task's memory (about 100 bytes a cell); larger rasters are cut into tiles with their own grid_id first.
+(Moran, mean distance, flows) are convolutions: a grid is one group of ``applyInArrow`` and costs n log n by FFT, so there a grid must fit
+a task's memory (about 100 bytes a cell). The ``..._of_large`` forms spread one grid over many tasks.
 NaN counts as 0 in the convolutions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,16 +178,126 @@ def _distance(a: np.ndarray, normalise: bool = True) -> float:
     return mean * np.sqrt(np.pi / a.size) if normalise else mean
 
 
+#: Columns of a grid's transform that one task takes together.
+_COLUMNS = 64
+_SPECTRUM = "grid_id long, part int, i int, re binary, im binary"
+
+
+def _spectrum(rows: DataFrame, width: int, value: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """grid_id, part, i, re, im: each row (grid_id, i, ...) transformed to length ``width``, in parts of columns."""
+
+    def run(table: pa.Table) -> pa.Table:
+        f = np.fft.rfft(value(table), width)
+        cuts = [f[k : k + _COLUMNS] for k in range(0, len(f), _COLUMNS)]
+        n = len(cuts)
+        return pa.table({
+            "grid_id": [table["grid_id"][0].as_py()] * n, "part": pa.array(range(n), pa.int32()), "i": pa.array([table["i"][0].as_py()] * n, pa.int32()),
+            "re": pa.array([c.real.tobytes() for c in cuts], pa.binary()), "im": pa.array([c.imag.tobytes() for c in cuts], pa.binary()),
+        })
+
+    return rows.groupBy("grid_id", "i").applyInArrow(run, _SPECTRUM)
+
+
+def pair_sums(df: DataFrame, sums: Mapping[str, tuple[str, str, Callable[[np.ndarray], np.ndarray]]]) -> DataFrame:
+    """grid_id and, for each name, the sum over ordered pairs of cells of a_p b_q weight(distance), for (a, b, weight) with columns a and b.
+
+    One grid is spread over many tasks: a Fourier transform of its rows, a shuffle, one of its columns; products of the transforms add up to the sums (Parseval), and
+    the weights' transform is made in the same two steps. No task holds more than a row or ``_COLUMNS`` columns of a grid. All grids here have one shape.
+    """
+    names = sorted({c for a, b, _ in sums.values() for c in (a, b)})
+    rows = df.select(F.col("grid_id").cast("long").alias("grid_id"), "i", "j", *[F.col(c).cast("double").alias(c) for c in names])
+    low = rows.agg(F.min("i").alias("i"), F.max("i").alias("n"), F.min("j").alias("j"), F.max("j").alias("m")).first()
+    n, m = low.n - low.i + 1, low.m - low.j + 1
+
+    def line(c: str) -> Callable[[pa.Table], np.ndarray]:
+        def value(table: pa.Table) -> np.ndarray:
+            out = np.zeros(m)
+            out[table["j"].to_numpy() - low.j] = np.nan_to_num(table[c].to_numpy())
+            return out
+
+        return value
+
+    def weights(weight: Callable[[np.ndarray], np.ndarray]) -> Callable[[pa.Table], np.ndarray]:
+        def value(table: pa.Table) -> np.ndarray:
+            i = table["i"][0].as_py()
+            j = np.minimum(np.arange(2 * m), 2 * m - np.arange(2 * m))
+            return weight(np.hypot(min(i, 2 * n - i), j))
+
+        return value
+
+    shifted = rows.withColumn("i", F.col("i") - low.i)
+    parts = None
+    for c in names:
+        own = _spectrum(shifted.select("grid_id", "i", "j", c), 2 * m, line(c)).withColumn("what", F.lit(c))
+        parts = own if parts is None else parts.unionByName(own)
+    lattice = df.sparkSession.range(2 * n).select(F.lit(0).cast("long").alias("grid_id"), F.col("id").cast("int").alias("i"))
+    kernels = None
+    for name, (_, _, weight) in sums.items():
+        own = _spectrum(lattice, 2 * m, weights(weight)).withColumn("what", F.lit(name))
+        kernels = own if kernels is None else kernels.unionByName(own)
+
+    def columns(table: pa.Table, what: str) -> np.ndarray:
+        own = table.filter(pc.equal(table["what"], what))
+        read = lambda c: np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in own[c]])
+        full = np.zeros((2 * n, len(own["re"][0].as_py()) // 8), complex)
+        full[own["i"].to_numpy()] = read("re") + 1j * read("im")
+        return np.fft.fft(full, axis=0)
+
+    def add(cells_: pa.Table, kernel: pa.Table) -> pa.Table:
+        if not cells_.num_rows:
+            return pa.table({"grid_id": pa.array([], pa.int64()), **{name: pa.array([], pa.float64()) for name in sums}})
+        spectra, part = {c: columns(cells_, c) for c in names}, cells_["part"][0].as_py()
+        at = part * _COLUMNS + np.arange(len(next(iter(spectra.values()))[0]))
+        twice = np.where((at == 0) | (at == m), 1.0, 2.0)  # the half of the spectrum that is left out mirrors the other
+        found = {name: [float(((np.conj(spectra[a]) * spectra[b] * columns(kernel, name)).real * twice).sum() / (4 * n * m))] for name, (a, b, _) in sums.items()}
+        return pa.table({"grid_id": cells_["grid_id"][:1], **found})
+
+    ids = shifted.select("grid_id").distinct()
+    every = kernels.drop("grid_id").crossJoin(ids)  # a copy of the weights' transform for each grid
+    schema = "grid_id long, " + ", ".join(f"{name} double" for name in sums)
+    found = parts.groupBy("grid_id", "part").cogroup(every.groupBy("grid_id", "part")).applyInArrow(add, schema)
+    return found.groupBy("grid_id").agg(*[F.sum(name).alias(name) for name in sums])
+
+
 def moran(df: DataFrame) -> DataFrame:
-    """Moran's I with weights 1/d."""
+    """Moran's I with weights 1/d, of grids that fit a task each; :func:`moran_of_large` is for larger ones."""
     return per_grid(df, lambda a: {"moran": _moran(a)}, "moran double")
 
 
+def moran_of_large(df: DataFrame) -> DataFrame:
+    """Moran's I with weights 1/d of full grids of any size, each spread over many tasks."""
+    rows = cells(df)
+    mean = rows.groupBy("grid_id").agg(F.avg("v").alias("m"), F.count("*").alias("cells"), F.var_pop("v").alias("var"))
+    centred = rows.join(mean.select("grid_id", "m"), "grid_id").select("grid_id", "i", "j", (F.col("v") - F.col("m")).alias("z"), F.lit(1.0).alias("one"))
+    found = pair_sums(centred, {"near": ("z", "z", _inverse), "all": ("one", "one", _inverse)})
+    return found.join(mean, "grid_id").select("grid_id", F.when(F.col("var") > 0, F.col("near") / (F.col("all") * F.col("var"))).otherwise(float("nan")).alias("moran"))
+
+
 def mean_distance(df: DataFrame) -> DataFrame:
-    """Mean distance between individuals, over the radius of a disc of the grid's area; 0 for an empty grid."""
+    """Mean distance between individuals, over the radius of a disc of the grid's area; 0 for an empty grid. Grids fit a task each."""
     return per_grid(df, lambda a: {"distance": _distance(a)}, "distance double")
 
 
+def mean_distance_of_large(df: DataFrame) -> DataFrame:
+    """:func:`mean_distance` of full grids of any size, each spread over many tasks."""
+    rows = cells(df).select("grid_id", "i", "j", F.coalesce(F.nanvl("v", F.lit(0.0)), F.lit(0.0)).alias("v"))
+    total = rows.groupBy("grid_id").agg(F.sum("v").alias("total"), F.count("*").alias("cells"))
+    found = pair_sums(rows, {"far": ("v", "v", lambda d: d)}).join(total, "grid_id")
+    mean = F.col("far") / (F.col("total") * F.col("total")) * F.sqrt(math.pi / F.col("cells"))
+    return found.select("grid_id", F.when(F.col("total") > 0, mean).otherwise(0.0).alias("distance"))
+
+
+def components_of_large(df: DataFrame) -> DataFrame:
+    """grid_id, components, block_area of the positive cells of grids of any size, as a graph of cells that touch."""
+    from .network import Network
+    from .network import components as of_graph
+
+    on = cells(df).where("v > 0").select(F.struct("grid_id", "i", "j").alias("id"))
+    ends = to_links(df).select(F.struct("grid_id", "src.i", "src.j").alias("src"), F.struct("grid_id", "dst.i", "dst.j").alias("dst"))
+    sizes = of_graph(Network(on, ends)).groupBy(F.col("id.grid_id").alias("grid_id"), "component").agg(F.count("*").alias("n"))
+    return sizes.groupBy("grid_id").agg(F.count("*").cast("double").alias("components"), F.avg("n").alias("block_area"))
+
+
 def congested_flows(df: DataFrame, cost: float) -> DataFrame:
     """Gravity flows with weights 1/d of population shares, less their congestion: sum w p q - cost * sum w^2 p^2 q^2."""
 

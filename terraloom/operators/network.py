@@ -119,17 +119,20 @@ def percolate(net: Network, probability: float, seed: int, where: Column | None
 
 
 def components(net: Network) -> DataFrame:
-    """id, component (its smallest id) of every node: minimum labels with pointer jumping, about log(diameter) rounds."""
+    """id, component (its smallest id) of every node, by alternating large-star and small-star until a round's checksum of the links stays the same."""
+    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = cut(net.links.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    while True:
+    before = mark(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        new = cut(joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        edges = cut(joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        after = mark(edges)
+        if after == before:
             break
-        edges = new
+        before = after
     return net.nodes.select("id").distinct().join(edges, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
@@ -151,7 +154,8 @@ def shortest_paths(net: Network, sources: DataFrame | None = None, *, cost: str
 
     Only improved labels are sent on (a frontier), one aggregation a round, until none improves. Ties between paths go to the smaller path.
     """
-    own = cut(arcs(net, cost).groupBy("src", "dst").agg(F.min("cost").alias("cost")).where("cost >= 0"))
+    checked = F.when(F.col("cost") >= 0, F.col("cost")).otherwise(F.raise_error(F.lit("a link's cost must be a number of at least 0")).cast("double"))
+    own = cut(arcs(net, cost).groupBy("src", "dst").agg(F.min("cost").alias("cost")).withColumn("cost", checked))
     start = (sources if sources is not None else net.nodes).select(F.col("id").alias("src")).distinct()
     best = cut(start.select("src", F.col("src").alias("dst"), F.struct(F.lit(0.0).alias("dist"), F.array("src").alias("path")).alias("label")))
     front = best

@@ -72,7 +72,8 @@ def multiscale_step(pops: DataFrame, grids: DataFrame, growth: DataFrame, *, alp
         a = grid.dense(table)
         r = np.random.default_rng([seed, abs(int(key[0].as_py()))])
         w = (a / a.sum()) ** alpha if a.sum() > 0 else np.ones_like(a)
-        a = a + r.multinomial(int(table["more"][0].as_py()), (w / w.sum()).ravel()).reshape(a.shape)
+        more = table["more"][0].as_py()
+        a = a + r.multinomial(int(more), (w / w.sum()).ravel()).reshape(a.shape) + (more - int(more)) * w / w.sum()  # whole people by lot, the rest by share
         for _ in range(rounds):
             a = generators._diffused(a, beta)
         i, j = np.indices(a.shape)

@@ -16,8 +16,10 @@ from .runtime import cut
 Growth = Callable[[DataFrame, DataFrame], DataFrame]  # (city, pop), (i, j, d) -> (city, growth)
 
 
-def distance_table(cities: DataFrame) -> DataFrame:
-    """(i, j, d) of all ordered pairs of cities (city, x, y): the model's matrix, bounded by the city system's square."""
+def distance_table(cities: DataFrame, limit: int = 20_000) -> DataFrame:
+    """(i, j, d) of all ordered pairs of cities (city, x, y): the model's matrix, the square of a city system of at most ``limit`` cities, which is checked."""
+    if cities.limit(limit + 1).count() > limit:
+        raise ValueError(f"a table of all pairs is for at most {limit} cities")
     a, b = cities.select(F.col("city").alias("i"), "x", "y"), cities.select(F.col("city").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     return a.crossJoin(b).select("i", "j", F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2.0)) + F.pow(F.col("y") - F.col("y2"), F.lit(2.0))).alias("d"))
 

@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import uniform_sql as u
 from ..operators import analysis, generators, network, simulation, urban
 from . import tables as t
 from .queries_space import _boxes
+
 from .registry import query, r
 
 
@@ -25,11 +27,16 @@ def net_coarse_grained(spark: SparkSession, d: str) -> DataFrame:
     return network.coarse_grained(t.network(spark, d), generators.grid_polygons(spark, 0, 1, 0, 1, 2, 2), 0.25).links
 
 
-@query()
+@query(f"""WITH RECURSIVE {t.EDGES}, {t.POINTS}, n AS (SELECT city id, x, y FROM zones), lonely AS (SELECT id + 1000 id, x, y FROM points UNION ALL SELECT id, x, y FROM n WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)),
+s AS (SELECT src, dst, a.x x1, a.y y1, b.x x2, b.y y2 FROM edges JOIN n a ON src = a.id JOIN n b ON dst = b.id),
+q AS (SELECT id, x, y, s.*, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) f FROM lonely, s),
+d AS (SELECT id, min(sqrt((x - x1 - f * (x2 - x1)) * (x - x1 - f * (x2 - x1)) + (y - y1 - f * (y2 - y1)) * (y - y1 - f * (y2 - y1)))) d FROM q GROUP BY 1)
+SELECT round((SELECT sum(length) FROM edges) + sum(d), 4) length FROM d WHERE d <= 0.5""")
 def net_connected_isolated(spark: SparkSession, d: str) -> DataFrame:
+    """The length of all links grows by the distances of the isolated nodes, for links that are split keep theirs."""
     net = t.network(spark, d)
     more = t.points(spark, d).select((F.col("id") + 1000).alias("id"), "x", "y")
-    return network.connect_isolated(net.with_(nodes=net.nodes.unionByName(more)), 0.5).links
+    return network.connect_isolated(net.with_(nodes=net.nodes.unionByName(more)), 0.5).links.agg(r(F.sum("length"), "length", 4))
 
 
 @query()
@@ -75,10 +82,15 @@ def explored_mixtures(spark: SparkSession, d: str) -> DataFrame:
     return simulation.explored(runs, model, seed=1)
 
 
-@query()
+@query(f"""WITH {t.POINTS}, a AS (SELECT id, x * 100 x, y * 100 y FROM points), g AS (SELECT a.id, b.x - a.x - 100 * round((b.x - a.x) / 100) gx, b.y - a.y - 100 * round((b.y - a.y) / 100) gy FROM a JOIN a b ON a.id <> b.id),
+m AS (SELECT id, avg(gx) mx, avg(gy) my, sum(-gx / greatest(gx * gx + gy * gy, 1e-6)) rx, sum(-gy / greatest(gx * gx + gy * gy, 1e-6)) ry FROM g WHERE gx * gx + gy * gy <= 400 GROUP BY 1),
+z AS (SELECT id, CASE WHEN {u(1, "0", "id", "'n'")} < 0.1 THEN 10 * ({u(1, "0", "id", "'x'")} - 0.5) ELSE 0 END zx, CASE WHEN {u(1, "0", "id", "'n'")} < 0.1 THEN 10 * ({u(1, "0", "id", "'y'")} - 0.5) ELSE 0 END zy, {u(1, "0", "id", "'xa'")} - 0.5 ax, {u(1, "0", "id", "'ya'")} - 0.5 ay FROM a),
+p AS (SELECT a.id, x, y, coalesce(0.05 * mx + 5 * rx, ax) + zx nx, coalesce(0.05 * my + 5 * ry, ay) + zy ny FROM a JOIN z ON a.id = z.id LEFT JOIN m ON a.id = m.id),
+s AS (SELECT *, greatest(sqrt(nx * nx + ny * ny), 1e-9) speed FROM p), c AS (SELECT *, least(1.0, 10 / speed) capped FROM s), k AS (SELECT *, capped * (0.2 * 5 / (speed * capped) + 0.8) pace FROM c)
+SELECT id agent, round(x + nx * pace - 100 * floor((x + nx * pace) / 100), 4) x, round(y + ny * pace - 100 * floor((y + ny * pace) / 100), 4) y FROM k""")
 def swarm(spark: SparkSession, d: str) -> DataFrame:
     start = t.points(spark, d).selectExpr("id agent", "x * 100 x", "y * 100 y", "0D dx", "0D dy", "20D radius", "5D normal", "10D most", "0.05D c1", "0.1D c2", "5D c3", "0.1D c4", "0.2D c5")
-    return simulation.swarm_step(start, 100.0, seed=1, t=0)
+    return simulation.swarm_step(start, 100.0, seed=1, t=0).select("agent", r("x", "x", 4), r("y", "y", 4))
 
 
 @query()

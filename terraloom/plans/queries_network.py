@@ -119,19 +119,25 @@ def net_union(spark: SparkSession, d: str) -> DataFrame:
     return network.union(net.with_(links=net.links.select("src", "dst")), network.Network(net.nodes, weak)).links
 
 
-@query(f"""{_ALL}, s AS (SELECT src, dst, a.x ax, a.y ay, b.x bx, b.y by_ FROM edges JOIN n a ON src = a.id JOIN n b ON dst = b.id),
+_CROSSED = f"""{_ALL}, s AS (SELECT src, dst, a.x ax, a.y ay, b.x bx, b.y by_ FROM edges JOIN n a ON src = a.id JOIN n b ON dst = b.id),
 p AS (SELECT p.src src1, p.dst dst1, q.src src2, q.dst dst2, p.ax, p.ay, p.bx, p.by_, (p.bx - p.ax) * (q.by_ - q.ay) - (p.by_ - p.ay) * (q.bx - q.ax) den,
  (q.ax - p.ax) * (q.by_ - q.ay) - (q.ay - p.ay) * (q.bx - q.ax) tn, (q.ax - p.ax) * (p.by_ - p.ay) - (q.ay - p.ay) * (p.bx - p.ax) un
  FROM s p JOIN s q ON p.src < q.src OR (p.src = q.src AND p.dst < q.dst)
- WHERE p.src <> q.src AND p.src <> q.dst AND p.dst <> q.src AND p.dst <> q.dst)
+ WHERE p.src <> q.src AND p.src <> q.dst AND p.dst <> q.src AND p.dst <> q.dst)"""
+
+
+@query(f"""{_CROSSED}
 SELECT src1, dst1, src2, dst2, round(ax + tn / den * (bx - ax), 6) x, round(ay + tn / den * (by_ - ay), 6) y FROM p WHERE abs(den) > 1e-12 AND tn / den BETWEEN 0 AND 1 AND un / den BETWEEN 0 AND 1""")
 def net_crossings(spark: SparkSession, d: str) -> DataFrame:
     return network.crossings(t.network(spark, d), 0.2).select("src1", "dst1", "src2", "dst2", r("x", "x"), r("y", "y"))
 
 
-@query()
+@query(f"{_CROSSED.replace(_NODES, _MOVED + ', n AS (SELECT city id, x, y FROM moved)')}, x AS (SELECT count(*) n FROM p WHERE abs(den) > 1e-12 AND tn / den BETWEEN 0 AND 1 AND un / den BETWEEN 0 AND 1) SELECT count(*) + 2 * (SELECT n FROM x) links, round(sum(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))), 4) length FROM s")
 def net_planarised(spark: SparkSession, d: str) -> DataFrame:
-    return network.planarised(t.network(spark, d), 0.2).links
+    """Links after splitting: one more for each link of each crossing, and the same length in all."""
+    moved = _moved(spark, d)
+    links = t.network(spark, d).links.select("src", "dst")
+    return network.planarised(network.Network(moved, generators.measured(moved, links)), 0.2).links.agg(F.count("*").alias("links"), r(F.sum("length"), "length", 4))
 
 
 @query(f"""{_ALL}, {_JOLTED}, {_DIST.replace('edges', 'jolted')}, e AS (SELECT src, dst, src a, dst b, length FROM jolted UNION ALL SELECT src, dst, dst, src, length FROM jolted),
@@ -187,3 +193,17 @@ def net_from_lines(spark: SparkSession, d: str) -> DataFrame:
     net = network.from_lines(lines, 0.25)
     at = lambda c, a, b: net.nodes.select(F.col("id").alias(c), F.round("x", 2).alias(a), F.round("y", 2).alias(b))
     return net.links.join(at("src", "ax", "ay"), "src").join(at("dst", "bx", "by_"), "dst").select("ax", "ay", "bx", "by_", r("length", "length"))
+
+
+_TRADE = "l AS (SELECT DISTINCT o_custkey a, 1000000000 + l_suppkey b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_discount > 0.09)"
+
+
+@query(f"""WITH RECURSIVE {_TRADE}, ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), walk(id, root) AS (SELECT a, a FROM ways UNION SELECT b, root FROM walk JOIN ways ON id = a),
+c AS (SELECT id, min(root) c FROM walk GROUP BY 1) SELECT n size, count(*) components FROM (SELECT c, count(*) n FROM c GROUP BY 1) GROUP BY 1""")
+def trade_components(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers linked by large, discounted orders: a network that grows with the tables; components by size."""
+    line = t.table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount > 0.09").select("l_orderkey", "l_suppkey")
+    orders = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    links = line.join(orders, "l_orderkey").select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000000).alias("dst")).distinct()
+    sizes = network.components(network.from_links(links)).groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("components"))

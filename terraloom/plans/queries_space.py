@@ -9,7 +9,7 @@ from ..functions import columns as fn
 from ..functions.columns import uniform_sql as u
 from ..operators import generators, grid, points, spatial
 from . import tables as t
-from .registry import query, r
+from .registry import SQL, query, r
 
 _D = "sqrt(CAST((a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j) AS DOUBLE))"
 
@@ -124,9 +124,6 @@ def grid_morphology(spark: SparkSession, d: str) -> DataFrame:
     return grid.morphology(t.binary(spark, d))
 
 
-@query()
-def grid_acentrism(spark: SparkSession, d: str) -> DataFrame:
-    return grid.acentrism(t.raster(spark, d))
 
 
 _PD = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
@@ -301,3 +298,31 @@ def sampled_customers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 0 ORDER BY -ln(1 - {u(9, 'o_orderkey')}) / o_totalprice, o_orderkey LIMIT 100")
 def sampled_orders(spark: SparkSession, d: str) -> DataFrame:
     return generators.sample_without_replacement(t.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, ["o_orderkey"], "o_totalprice", seed=9)
+
+
+@query(SQL["grid_moran"])
+def grid_moran_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Moran's I of one grid spread over many tasks."""
+    return grid.moran_of_large(t.raster(spark, d)).select(r("moran", "moran"))
+
+
+@query(SQL["grid_mean_distance"])
+def grid_mean_distance_spread(spark: SparkSession, d: str) -> DataFrame:
+    return grid.mean_distance_of_large(t.raster(spark, d)).select(r("distance", "distance"))
+
+
+_TOUCH = """on_ AS (SELECT i * 100 + j id, i, j FROM bin WHERE v > 0), ways AS (SELECT a.id a, b.id b FROM on_ a JOIN on_ b ON abs(a.i - b.i) + abs(a.j - b.j) = 1),
+walk(id, root) AS (SELECT id, id FROM on_ UNION SELECT b, root FROM walk JOIN ways ON id = a), comp AS (SELECT id, min(root) c FROM walk GROUP BY 1), sizes AS (SELECT c, count(*) n FROM comp GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {t.BINARY.strip()}, {_TOUCH} SELECT CAST(count(*) AS DOUBLE) components, round(avg(n), 6) block_area FROM sizes")
+def grid_components_spread(spark: SparkSession, d: str) -> DataFrame:
+    return grid.components_of_large(t.binary(spark, d)).select("components", r("block_area", "block_area"))
+
+
+@query(f"""WITH {t.RASTER}, k AS (SELECT unnest(generate_series(1, 20)) k), n AS (SELECT v, row_number() OVER (ORDER BY v DESC) r, count(*) OVER () n FROM raster),
+lim AS (SELECT k, min(v) FILTER (r <= ceil(n * k / 20.0)) low FROM n, k GROUP BY 1), c AS (SELECT k, i, j, CASE WHEN v >= low THEN v ELSE 0 END v FROM raster, lim),
+d AS (SELECT a.k, sum({_D} * a.v * b.v) / power(any_value(s), 2) d FROM c a JOIN c b ON a.k = b.k JOIN (SELECT k, sum(v) s FROM c GROUP BY 1) s ON s.k = a.k GROUP BY 1),
+q AS (SELECT k, d / (SELECT d FROM d WHERE k = 20) q FROM d) SELECT round(sum(q + coalesce(p, 0)) / 40, 6) acentrism FROM (SELECT q, lag(q) OVER (ORDER BY k) p FROM q)""")
+def grid_acentrism(spark: SparkSession, d: str) -> DataFrame:
+    return grid.acentrism(t.raster(spark, d)).select(r("acentrism", "acentrism"))

@@ -80,7 +80,18 @@ def big_endian_float(data: Column) -> Column:
     return F.when(exponent == 0, sign * fraction / float(1 << 23) * 2.0**-126).when(exponent == 255, special).otherwise(normal).cast("float")
 
 
-def read_database(spark: SparkSession, url: str, table: str, xmin: float, ymin: float, xmax: float, ymax: float, *, geometry: str = "geom", driver: str = "org.postgresql.Driver") -> DataFrame:
-    """Geometries of a PostGIS table that meet a box; the box travels in the query. Needs the driver's jar."""
-    query = f"SELECT ST_AsText({geometry}) AS wkt FROM {table} WHERE ST_Intersects({geometry}, ST_MakeEnvelope({xmin}, {ymin}, {xmax}, {ymax}, 4326))"
-    return spark.read.format("jdbc").options(url=url, query=query, driver=driver).load()
+def read_database(spark: SparkSession, url: str, table: str, xmin: float, ymin: float, xmax: float, ymax: float, *, geometry: str = "geom", key: str | None = None, parts: int = 1, driver: str = "org.postgresql.Driver") -> DataFrame:
+    """Geometries of a PostGIS table that meet a box; the box travels in the query. Needs the driver's jar.
+
+    With a numeric ``key`` the table is read in ``parts`` ranges of it, side by side; the edges come from the table's own extremes.
+    """
+    quoted = lambda name: ".".join('"' + part.replace('"', '""') + '"' for part in name.split("."))
+    box = ", ".join(repr(float(v)) for v in (xmin, ymin, xmax, ymax))
+    inside = f"FROM {quoted(table)} WHERE ST_Intersects({quoted(geometry)}, ST_MakeEnvelope({box}, 4326))"
+    reader = spark.read.format("jdbc").options(url=url, driver=driver)
+    if key is None:
+        return reader.option("query", f"SELECT ST_AsText({quoted(geometry)}) AS wkt {inside}").load()
+    low, high = reader.option("query", f"SELECT min({quoted(key)}) AS low, max({quoted(key)}) AS high {inside}").load().first()
+    rows = f"(SELECT {quoted(key)} AS k, ST_AsText({quoted(geometry)}) AS wkt {inside}) AS g"
+    ranged = spark.read.format("jdbc").options(url=url, driver=driver, dbtable=rows, partitionColumn="k", lowerBound=str(low or 0), upperBound=str((high or 0) + 1), numPartitions=str(parts))
+    return ranged.load().select("wkt")
