@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import exp_cost, uniform
 from ..sources.tables import read_binary, read_coordinates, read_matrix, write_binary
 from . import generators, interaction, network, simulation, spatial
+from . import grid as grids
 from .network import Network
 from .ranks import numbered
 
 
+#: So many boxes of areas are broadcast; more are joined.
+_AREAS = 10_000
+
+
 class MacroModel(Protocol):
     """A model of a system of cities: new populations (city, pop) and distances (i, j, d) after a step; ``urban.run_multi`` couples several."""
 
@@ -100,6 +105,20 @@ def population(households: DataFrame, individuals: DataFrame, flows: DataFrame,
     return spatial.commute_plans(placed.join(jobs, "individual_id"), seed=seed)
 
 
+def sampled_morphology(layer: DataFrame, buildings: DataFrame, n: int, side: float, cells: int, *, seed: int = 0) -> DataFrame:
+    """The indicators of the buildings' rasters in n windows of a layer, one row a window."""
+    return grids.morphology(spatial.sampled_grids(layer, buildings, n, side, cells, seed=seed))
+
+
+def area_indicators(raster: DataFrame, areas: DataFrame) -> DataFrame:
+    """The indicators of a raster (i, j, v) cropped to each area (area, i0, i1, j0, j1), one row an area; the ends are left out."""
+    inside = (F.col("i") >= F.col("i0")) & (F.col("i") < F.col("i1")) & (F.col("j") >= F.col("j0")) & (F.col("j") < F.col("j1"))
+    few = areas.limit(_AREAS + 1).count() <= _AREAS
+    rows = raster.select("i", "j", "v").join(F.broadcast(areas) if few else areas, inside)
+    cropped = rows.select(F.col("area").alias("grid_id"), "i", "j", "v")
+    return grids.density(cropped).join(grids.entropy(cropped), "grid_id").join(grids.mean_distance(cropped), "grid_id").withColumnRenamed("grid_id", "area")
+
+
 # -- rail and micro models -----------------------------------------------------------------------------------------
 
 

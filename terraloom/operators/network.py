@@ -183,6 +183,11 @@ def min_plus(net: Network, *, cost: str = "weight") -> DataFrame:
         d = new
 
 
+def distances(net: Network, *, method: str = "frontier", cost: str = "weight") -> DataFrame:
+    """All-pairs distances by a named method: ``frontier`` (labels sent on while they improve) or ``min_plus`` (squarings of the table)."""
+    return {"frontier": shortest_paths, "min_plus": min_plus}[method](net, cost=cost).select("src", "dst", "dist")
+
+
 def path_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Summed absolute difference of distances over common, reachable pairs."""
     x, y = a.select("src", "dst", F.col("dist").alias("da")), b.select("src", "dst", F.col("dist").alias("db"))

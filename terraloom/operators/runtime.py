@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import logging
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +60,16 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def timed(name: str) -> Iterator[None]:
+    """Logs the seconds that a block takes."""
+    began = time.monotonic()
+    try:
+        yield
+    finally:
+        logging.getLogger("terraloom").info("%s took %.3f s", name, time.monotonic() - began)
+
+
 def _clean() -> None:
     for spark, path in _written:
         if spark.sparkContext._jsc is not None:

@@ -53,6 +53,15 @@ def sampled_grids(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("cells"), F.countDistinct("grid_id").alias("grids"), F.sum((F.col("v") == F.col("own")).cast("int")).alias("inside"))
 
 
+@query(f"""WITH {t.RASTER}, a(area, i0, i1, j0, j1) AS (VALUES (1, 1, 21, 0, 6), (2, 10, 40, 3, 11)), c AS (SELECT area, i, j, v FROM raster JOIN a ON i >= i0 AND i < i1 AND j >= j0 AND j < j1),
+s AS (SELECT area, sum(v) total, count(*) n FROM c GROUP BY 1), e AS (SELECT c.area, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 6) density, round(-sum(CASE WHEN v > 0 THEN v / total * ln(v / total) ELSE 0 END) / ln(max(n)), 6) entropy FROM c JOIN s ON c.area = s.area GROUP BY 1),
+d AS (SELECT p.area, round(sqrt(pi() / max(n)) * sum(sqrt(CAST((p.i - q.i) * (p.i - q.i) + (p.j - q.j) * (p.j - q.j) AS DOUBLE)) * p.v * q.v) / (max(total) * max(total)), 6) distance FROM c p JOIN c q ON p.area = q.area JOIN s ON s.area = p.area GROUP BY 1)
+SELECT e.area, density, entropy, distance FROM e JOIN d ON e.area = d.area""")
+def area_indicators(spark: SparkSession, d: str) -> DataFrame:
+    areas = spark.createDataFrame([(1, 1, 21, 0, 6), (2, 10, 40, 3, 11)], "area int, i0 int, i1 int, j0 int, j1 int")
+    return applications.area_indicators(t.raster(spark, d), areas).select("area", *[r(c, c) for c in ("density", "entropy", "distance")])
+
+
 @query(f"WITH {t.RASTER} SELECT i, j, v + CASE WHEN {u(12, 'i', 'j')} < 0.1 THEN 1 ELSE 0 END v FROM raster")
 def grid_perturbed(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.columns import uniform
