@@ -199,12 +199,13 @@ def people_gravity_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {t.OD}, f AS (SELECT o, d, sum(mass) OVER (PARTITION BY o ORDER BY d) / sum(mass) OVER (PARTITION BY o) high FROM od),
-c AS (SELECT c_custkey k, c_nationkey o, {u(5, 'c_custkey')} u FROM customer WHERE {u(5, 'c_custkey')} < 0.2 AND c_nationkey < 20)
+c AS (SELECT c_custkey k, c_nationkey o, {u(5, 'c_custkey')} u FROM customer WHERE {u(5, 'c_custkey')} < 0.2 AND c_nationkey + 5 < 25)
 SELECT k individual_id, min(d) d, round(min(7 + 2 * {u(5, 'k', 'chr(97)')}), 6) away FROM c JOIN f ON c.o = f.o WHERE high > u GROUP BY 1""")
 def people_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Households and individuals sampled, placed, given workplaces and plans."""
-    households = t.zones(spark, d).where("city < 20").withColumnRenamed("city", "household_id")
-    people = t.table(spark, d, "customer").select(F.col("c_custkey").alias("individual_id"), F.col("c_nationkey").alias("household_id"), F.col("c_nationkey").alias("o"))
+    households = t.zones(spark, d).withColumnRenamed("city", "household_id")
+    home = F.col("c_nationkey")
+    people = t.table(spark, d, "customer").select(F.col("c_custkey").alias("individual_id"), (home + 5).alias("household_id"), home.alias("o"))
     made = applications.population(households, people, t.od(spark, d).withColumnRenamed("mass", "flow"), share=0.2, seed=5)
     return made.select("individual_id", "d", r(F.get("plan.actions", F.lit(0))["end"], "away"))
 

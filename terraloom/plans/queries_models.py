@@ -97,14 +97,13 @@ def gravity_fitted(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(fitted.items()), "mode string, decay double").select("mode", r("decay", "decay"))
 
 
-_FIRST = f"WITH {t.PAIRS}, {t.POP}, p AS (SELECT city, pop FROM pop WHERE t = (SELECT min(t) FROM pop)), tot AS (SELECT sum(pop) total FROM p)"
+_FIRST = f"WITH {t.PAIRS}, {t.POP}, p AS (SELECT city, sum(pop) pop FROM pop GROUP BY 1), tot AS (SELECT sum(pop) total FROM p)"
 _POT = "pot AS (SELECT i, j, CASE WHEN i <> j THEN power(a.pop / total, 0.8) * exp(-pairs.d / 0.5) * power(b.pop / total, 0.8) ELSE 0 END u FROM pairs JOIN p a ON i = a.city JOIN p b ON j = b.city CROSS JOIN tot)"
 
 
 def _first(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = t.pop(spark, d)
-    start = rows.agg(F.min("t").alias("t"))
-    return rows.join(F.broadcast(start), "t").select("city", "pop"), urban.distance_table(t.zones(spark, d))
+    """The cities that models start from, by their revenue of all years, and their distances."""
+    return t.pop(spark, d).groupBy("city").agg(F.sum("pop").alias("pop")), urban.distance_table(t.zones(spark, d))
 
 
 @query(f"{_FIRST}, {_POT} SELECT i, j, round(u, 8) potential FROM pot")

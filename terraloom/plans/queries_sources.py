@@ -192,9 +192,9 @@ def matsim_network_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.links.join(at("src", "ax", "ay"), "src").join(at("dst", "bx", "by_"), "dst").select("ax", "ay", "bx", "by_", r("length", "length"))
 
 
-@query("SELECT count(*) people, 3 * count(*) acts, 2 * count(*) legs FROM customer WHERE c_custkey <= 100")
+@query("SELECT count(*) people, 3 * count(*) acts, 2 * count(*) legs FROM customer")
 def matsim_population(spark: SparkSession, d: str) -> DataFrame:
-    people = t.table(spark, d, "customer").where("c_custkey <= 100").select(F.col("c_custkey").alias("individual_id"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))
+    people = t.table(spark, d, "customer").select(F.col("c_custkey").alias("individual_id"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))
     lines, path = graphs.matsim_population_lines(spatial.commute_plans(people)), fresh_path(spark, "people")
     graphs.write_lines(lines, path)
     found = lambda tag: F.sum(F.size(F.split("value", f"<{tag} ")) - 1)
@@ -254,14 +254,13 @@ def osm_without_nodes(spark: SparkSession, d: str) -> DataFrame:
     return osm.without(nodes, ways, gone)[1].select("id", F.size("node_refs").alias("refs"))
 
 
-@query(f"WITH {t.ZONES} SELECT city + 1000 relation, 4 links FROM zones WHERE city < 10")
+@query(f"WITH {t.ZONES} SELECT city + 1000 relation, 4 links FROM zones")
 def osm_multipolygons(spark: SparkSession, d: str) -> DataFrame:
     """Each ring in two halves, put together again."""
     _, ways = _read_osm(spark, d)
-    few = ways.where("id < 1010")
-    half = lambda k: few.select((F.col("id") * 10 + k).alias("id"), "tags", F.slice("node_refs", *((1, 3) if k == 0 else (3, 3))).alias("node_refs"))
+    half = lambda k: ways.select((F.col("id") * 10 + k).alias("id"), "tags", F.slice("node_refs", *((1, 3) if k == 0 else (3, 3))).alias("node_refs"))
     member = lambda k: F.struct(F.lit("way").alias("type"), (F.col("id") * 10 + k).alias("ref"), F.lit("outer").alias("role"))
-    relations = few.select("id", F.create_map(F.lit("type"), F.lit("multipolygon")).alias("tags"), F.array(member(0), member(1)).alias("members"))
+    relations = ways.select("id", F.create_map(F.lit("type"), F.lit("multipolygon")).alias("tags"), F.array(member(0), member(1)).alias("members"))
     return osm.multipolygons(relations, half(0).unionByName(half(1))).select("relation", (F.size("refs") - 1).alias("links"))
 
 
@@ -303,19 +302,19 @@ def pbf_buildings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nations below 20 as households' places, customers as individuals."""
-    households = t.zones(spark, d).where("city < 20").withColumnRenamed("city", "household_id")
-    individuals = t.table(spark, d, "customer").select(F.col("c_custkey").alias("individual_id"), F.col("c_nationkey").alias("household_id"))
+    """Nations as households' places, customers as individuals, whose household is the fifth nation on: some have none."""
+    households = t.zones(spark, d).withColumnRenamed("city", "household_id")
+    individuals = t.table(spark, d, "customer").select(F.col("c_custkey").alias("individual_id"), (F.col("c_nationkey") + 5).alias("household_id"))
     return households, individuals
 
 
-@query(f"WITH {t.ZONES} SELECT c_custkey individual_id, round(x, 6) x, round(y, 6) y FROM customer JOIN zones ON c_nationkey = city WHERE city < 20")
+@query(f"WITH {t.ZONES} SELECT c_custkey individual_id, round(x, 6) x, round(y, 6) y FROM customer JOIN zones ON c_nationkey + 5 = city")
 def people_located(spark: SparkSession, d: str) -> DataFrame:
     households, individuals = _people(spark, d)
     return spatial.located(individuals, households).select("individual_id", r("x", "x"), r("y", "y"))
 
 
-@query(f"WITH k AS (SELECT c_nationkey h, count(*) n FROM customer WHERE {u(5, 'c_custkey')} < 0.05 GROUP BY 1) SELECT h household_id, n FROM k WHERE h < 20")
+@query(f"WITH k AS (SELECT c_nationkey + 5 h, count(*) n FROM customer WHERE {u(5, 'c_custkey')} < 0.05 GROUP BY 1) SELECT h household_id, n FROM k JOIN nation ON h = n_nationkey")
 def people_sampled(spark: SparkSession, d: str) -> DataFrame:
     households, kept = spatial.sampled_households(*_people(spark, d), 0.05, seed=5)
     return households.join(kept.groupBy("household_id").agg(F.count("*").alias("n")), "household_id").select("household_id", "n")
@@ -324,11 +323,11 @@ def people_sampled(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {t.OD}, f AS (SELECT o, d, sum(mass) OVER (PARTITION BY o ORDER BY d) / sum(mass) OVER (PARTITION BY o) high FROM od), c AS (SELECT c_custkey k, c_nationkey o, {u(6, 'c_custkey')} u FROM customer)
 SELECT k individual_id, min(d) d FROM c JOIN f ON c.o = f.o WHERE high > u GROUP BY 1""")
 def people_at_work(spark: SparkSession, d: str) -> DataFrame:
-    people = _people(spark, d)[1].withColumnRenamed("household_id", "o")
+    people = t.table(spark, d, "customer").select(F.col("c_custkey").alias("individual_id"), F.col("c_nationkey").alias("o"))
     return spatial.assigned_jobs(people, t.od(spark, d).withColumnRenamed("mass", "flow"), seed=6).select("individual_id", "d")
 
 
-@query(f"SELECT c_custkey individual_id, round(7 + 2 * {u(7, 'c_custkey', chr(39) + 'a' + chr(39))}, 6) away, round(16 + 2 * {u(7, 'c_custkey', chr(39) + 'b' + chr(39))}, 6) back FROM customer WHERE c_nationkey < 20")
+@query(f"SELECT c_custkey individual_id, round(7 + 2 * {u(7, 'c_custkey', chr(39) + 'a' + chr(39))}, 6) away, round(16 + 2 * {u(7, 'c_custkey', chr(39) + 'b' + chr(39))}, 6) back FROM customer WHERE c_nationkey + 5 IN (SELECT n_nationkey FROM nation)")
 def people_plans(spark: SparkSession, d: str) -> DataFrame:
     households, individuals = _people(spark, d)
     plans = spatial.commute_plans(spatial.located(individuals, households), seed=7)
