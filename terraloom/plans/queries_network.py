@@ -154,9 +154,11 @@ def net_equilibrium(spark: SparkSession, d: str) -> DataFrame:
     return network.equilibrium(t.network(spark, d), cost="length", congested=lambda free, flow: free * (1 + flow / 100))
 
 
-@query()
+@query(f"{_ALL}, e AS (SELECT src id FROM edges UNION ALL SELECT dst FROM edges), g AS (SELECT id, count(*) degree FROM e GROUP BY 1) SELECT count(*) - (SELECT count(*) FROM g WHERE degree = 2) links, round(sum(length), 4) length FROM edges")
 def net_simplified(spark: SparkSession, d: str) -> DataFrame:
-    return network.simplified(t.network(spark, d)).links
+    """Contracting a node of degree 2 takes one link away and no length."""
+    net = t.network(spark, d)
+    return network.simplified(net.with_(links=net.links.drop("mass"))).links.agg(F.count("*").alias("links"), r(F.sum("length"), "length", 4))
 
 
 @query(f"WITH {t.ZONES}, {_MOVED}, {_TREE} SELECT src, dst, round(length, 6) length FROM tree")

@@ -119,9 +119,6 @@ def grid_links(spark: SparkSession, d: str) -> DataFrame:
     return grid.to_links(t.binary(spark, d)).select(F.col("src.i").alias("ai"), F.col("src.j").alias("aj"), F.col("dst.i").alias("bi"), F.col("dst.j").alias("bj"))
 
 
-@query()
-def grid_morphology(spark: SparkSession, d: str) -> DataFrame:
-    return grid.morphology(t.binary(spark, d))
 
 
 
@@ -186,9 +183,24 @@ def points_hull(spark: SparkSession, d: str) -> DataFrame:
     return points.hull(moved).select(r("area", "area"), r("cx", "cx"), r("cy", "cy"))
 
 
-@query()
+_MOMENTS = ((0, 1), (1, 0), (1, 1), (2, 0), (0, 2))
+
+
+@query(f"""WITH {t.POINTS}, mo AS (SELECT avg(v) m1, avg(v * v) m2, avg(power(v, 3)) m3, avg(power(v, 4)) m4, stddev_pop(v) std FROM points),
+en AS (SELECT (ln(sum(v)) - sum(CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END) / sum(v)) / ln(count(*)) entropy FROM points),
+k AS (SELECT ln(v) y, ln(row_number() OVER (ORDER BY v DESC)) x FROM points WHERE v > 0), rs AS (SELECT regr_slope(y, x) slope, regr_r2(y, x) r2 FROM k),
+z AS (SELECT id, x, y, v - (SELECT avg(v) FROM points) z FROM points), p AS (SELECT a.z * b.z / {_PD} num, 1 / {_PD} w FROM z a JOIN z b ON {_PD} > 0),
+mi AS (SELECT (SELECT count(*) FROM points) * sum(num) / (sum(w) * (SELECT sum(z * z) FROM z)) moran FROM p),
+ad AS (SELECT sum(a.v * b.v * {_PD}) / (max({_PD}) * (SELECT sum(v) * sum(v) FROM points)) average_distance FROM points a CROSS JOIN points b),
+b AS (SELECT avg(x) cx, avg(y) cy, max(x) - min(x) rx, max(y) - min(y) ry, sum(v) t FROM points),
+sm AS (SELECT {", ".join(f"round(sum(power((x - cx) / rx, {p}) * power((y - cy) / ry, {q}) * v / t), 6) moment_{p}{q}" for p, q in _MOMENTS)} FROM points, b)
+SELECT round(m1, 3) m1, round(m2 / 1e6, 6) m2, round(m3 / 1e9, 6) m3, round(m4 / 1e12, 6) m4, round(std, 3) std, round(entropy, 6) entropy, round(slope, 6) slope, round(r2, 6) r2, round(moran, 6) moran, round(average_distance, 6) average_distance, sm.*
+FROM mo, en, rs, mi, ad, sm""")
 def points_summary(spark: SparkSession, d: str) -> DataFrame:
-    return points.summary(t.points(spark, d))
+    """All statistics of a field; the higher moments in millions, billions and so on."""
+    found = points.summary(t.points(spark, d))
+    scaled = [r(F.col(f"m{k}") / 1000.0**k, f"m{k}") for k in (2, 3, 4)]
+    return found.select(r("m1", "m1", 3), *scaled, r("std", "std", 3), *[r(c, c) for c in ("entropy", "slope", "r2", "moran", "average_distance")], *[r(f"moment_{p}{q}", f"moment_{p}{q}") for p, q in _MOMENTS])
 
 
 def _boxes(spark: SparkSession, d: str, size: float) -> DataFrame:
@@ -326,3 +338,13 @@ d AS (SELECT a.k, sum({_D} * a.v * b.v) / power(any_value(s), 2) d FROM c a JOIN
 q AS (SELECT k, d / (SELECT d FROM d WHERE k = 20) q FROM d) SELECT round(sum(q + coalesce(p, 0)) / 40, 6) acentrism FROM (SELECT q, lag(q) OVER (ORDER BY k) p FROM q)""")
 def grid_acentrism(spark: SparkSession, d: str) -> DataFrame:
     return grid.acentrism(t.raster(spark, d)).select(r("acentrism", "acentrism"))
+
+
+@query(f"""WITH RECURSIVE {t.BINARY.strip()}, {_TOUCH}, z AS (SELECT i, j, v - (SELECT avg(v) FROM bin) z FROM bin),
+p AS (SELECT a.z * b.z / {_D} num, 1 / {_D} w FROM z a JOIN z b ON NOT (a.i = b.i AND a.j = b.j)), t AS (SELECT sum(v) total, count(*) n FROM bin)
+SELECT 50.0 height, 11.0 width, (SELECT total FROM t) area, (SELECT round(avg(v), 6) FROM bin) density, (SELECT CAST(count(*) AS DOUBLE) FROM sizes) components, (SELECT round(avg(n), 6) FROM sizes) block_area,
+(SELECT round((SELECT n FROM t) * sum(num) / (sum(w) * (SELECT sum(z * z) FROM z)), 6) FROM p) moran, (SELECT round(sqrt(pi() / max(n)) * sum({_D} * a.v * b.v) / (max(total) * max(total)), 6) FROM bin a CROSS JOIN bin b CROSS JOIN t) distance""")
+def grid_morphology(spark: SparkSession, d: str) -> DataFrame:
+    """Indicators of a built-up raster; those of dilation and erosion have queries of their own."""
+    names = ("height", "width", "area", "density", "components", "block_area", "moran", "distance")
+    return grid.morphology(t.binary(spark, d)).select(*[r(c, c) for c in names])
