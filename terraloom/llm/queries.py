@@ -98,6 +98,26 @@ FROM k GROUP BY conv_id
 """
 
 
+def chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as trees in which every third message answers the one before the last: the two branches with the most text of each."""
+    rows = chat.chained(table(spark, sf_dir, "conversations")).withColumn("score", F.length(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("parent", F.when(F.col("node") % 3 == 0, F.col("node") - 2).otherwise(F.col("parent")))
+    back = chat.parse(chat.format_paths(chat.paths(rows, branches=2)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(F.col("tree").alias("conv_id"), "leaf", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"))
+
+
+REPLY_TREES_SQL = """
+WITH RECURSIVE n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) node, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+m AS (SELECT *, CASE WHEN node % 3 = 0 THEN node - 2 ELSE node - 1 END parent FROM n),
+leaves AS (SELECT conv_id, node FROM m WHERE NOT EXISTS (SELECT 1 FROM m c WHERE c.conv_id = m.conv_id AND c.parent = m.node)),
+walk AS (SELECT conv_id, node leaf, node, 0 back FROM leaves UNION ALL SELECT w.conv_id, leaf, m.parent, back + 1 FROM walk w JOIN m ON w.conv_id = m.conv_id AND w.node = m.node WHERE m.parent > 0),
+p AS (SELECT w.conv_id, leaf, back, role, text FROM walk w JOIN m ON w.conv_id = m.conv_id AND w.node = m.node),
+b AS (SELECT conv_id, leaf, sum(length(text)) score, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY back DESC)) turns_sha256 FROM p GROUP BY 1, 2)
+SELECT conv_id, leaf, n_turns::BIGINT n_turns, turns_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, leaf) place FROM b) WHERE place <= 2
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = toxicity.train(docs, labels, learn=crc_mod("doc_id", 5) != 0)
@@ -129,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_pii": op9_pii,
     "op10_decontam": op10_decontam,
+    "chat_reply_trees": chat_reply_trees,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_substring": OP3_SQL, "op5_minhash": OP5_SQL, "op6_chat": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_substring": OP3_SQL, "op5_minhash": OP5_SQL, "op6_chat": OP6_SQL, "chat_reply_trees": REPLY_TREES_SQL}
