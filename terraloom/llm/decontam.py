@@ -8,8 +8,9 @@ so no leak is missed; where no substitution is admitted, the mask is the whole s
 document is hashed with every mask in use and looked up in the benchmark's sorted hashes; around each hit the document
 and the item are compared token by token along that diagonal.
 
-The benchmark is the query set: it is taken in blocks of at most ``block_tokens`` tokens, whose index (about 16 bytes a
-token and mask) is broadcast, and each block is held against all documents. However large the benchmark, memory stays bounded.
+The benchmark is the query set: it is taken in blocks of about ``block_tokens`` tokens, two at most, whose index (about 16 bytes a
+token and mask) is broadcast, and each block is held against all documents. However large the benchmark, memory stays bounded: an item
+longer than a block is taken in pieces, and :func:`leaks` gives a row for each piece that leaks.
 
 Cases: null texts have no tokens; items with under ``least`` tokens are not searched (the queries search all, with ``least=1``); repeated
 documents and items are each reported; an empty table on either side gives no leaks; extra columns are ignored by
@@ -178,16 +179,25 @@ class Index:
         return [[(self.keys[i], -place, n, equal) for i, (equal, place, n) in sorted(x.items())] for x in best]
 
 
+def pieces(tokens: np.ndarray, overlap: int, block_tokens: int) -> Iterator[np.ndarray]:
+    """An item in pieces of at most a block's size that share ``overlap`` - 1 tokens with the next, so every window lies whole in one."""
+    step = max(block_tokens, 2 * overlap)
+    for at in range(0, max(1, len(tokens) - overlap + 1), step - overlap + 1):
+        yield tokens[at : at + step]
+
+
 def blocks(benchmark: DataFrame, item: str, text: str, overlap: int, share: float, least: int, block_tokens: int) -> Iterator[Index]:
     tokens, held, size = Tokens(), [], 0
     for row in benchmark.select(item, text).distinct().orderBy(item, text).toLocalIterator():
         found = tokens.of(row[1])
-        if len(found) >= max(least, 1):
-            held.append((row[0], found))
-            size += len(found)
-        if size >= block_tokens:
-            yield Index(held, overlap, share)
-            held, size = [], 0
+        if len(found) < max(least, 1):
+            continue
+        for part in pieces(found, overlap, block_tokens):
+            held.append((row[0], part))
+            size += len(part)
+            if size >= block_tokens:
+                yield Index(held, overlap, share)
+                held, size = [], 0
     if held:
         yield Index(held, overlap, share)
 

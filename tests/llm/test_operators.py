@@ -568,6 +568,19 @@ def test_leaks(spark, odd, none):
     assert decontam.remove(odd, b).columns == odd.columns
 
 
+def test_long_items_come_in_pieces(spark):
+    whole = np.arange(1000, dtype=np.uint64)
+    parts = list(decontam.pieces(whole, 13, 100))
+    windows = {tuple(p[k : k + 13]) for p in parts for k in range(len(p) - 12)}
+    assert max(map(len, parts)) == 100 and windows == {tuple(whole[k : k + 13]) for k in range(988)}
+    assert [len(p) for p in decontam.pieces(whole[:5], 13, 100)] == [5]
+    text = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(k, "a " + " ".join(text[k : k + 13]) + " b") for k in range(0, 288, 7)] + [(999, " ".join(reversed(text)))], "doc_id long, text string")
+    item = spark.createDataFrame([(1, " ".join(text))], "item_id long, text string")
+    found = {r.doc_id for r in decontam.leaks(docs, item, block_tokens=40).collect()}
+    assert found == set(range(0, 288, 7)) and {r.doc_id for r in decontam.remove(docs, item, block_tokens=40).collect()} == {999}
+
+
 def test_every_admitted_pattern_is_hit():
     for n in range(1, 14):
         wrong = n - int(np.ceil(0.8 * n))
