@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from terraloom.plans import queries_models, queries_more, queries_network, queries_space, queries_stats  # noqa: F401
+from terraloom.plans import queries_applications, queries_models, queries_more, queries_network, queries_sources, queries_space, queries_stats  # noqa: F401
 from terraloom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
