@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from ..functions.columns import uniform
 from . import generators, grid
 from .matrix import solve
-from .network import Network
+from .network import Network, components
 from .ranks import numbered
 from .runtime import cut
 
@@ -26,10 +26,17 @@ def slime_mould(net: Network, source: int, sink: int, *, flow: float = 1.0, gamm
     """src, dst, diameter, flow after rounds of pressure flow and tube adaptation between two nodes.
 
     The pressures of a round solve a linear system on the driver (bounded by the dense limit); flows and diameters are columns.
+    Links of other components carry nothing. Where no path joins the two nodes, or one is not in the network, the system has
+    no solution: there is no flow and diameters stay as they are.
     """
-    ids = sorted(r.id for r in net.nodes.select("id").distinct().toLocalIterator())
+    comp = cut(components(net))
+    ends = {r.id: r.component for r in comp.where(F.col("id").isin(source, sink)).toLocalIterator()}
+    joined = source in ends and ends[source] == ends.get(sink)
+    ids = sorted(r.id for r in comp.where(F.col("component") == ends[sink]).select("id").toLocalIterator()) if joined else []
     place = {v: k for k, v in enumerate(ids)}
     state = cut(net.links.select("src", "dst", F.greatest("length", F.lit(1e-9)).alias("length"), F.lit(1.0).alias("diameter"), F.lit(0.0).alias("flow")))
+    if not joined:
+        return state.select("src", "dst", "diameter", "flow")
     index = net.nodes.sparkSession.createDataFrame(list(place.items()), "id long, k int")
     at = lambda c: index.select(F.col("id").alias(c), F.col("k").alias(f"{c}_k"))
     for _ in range(rounds):
@@ -45,7 +52,8 @@ def slime_mould(net: Network, source: int, sink: int, *, flow: float = 1.0, gamm
             break
         p = net.nodes.sparkSession.createDataFrame([(v, float(pressure[k])) for v, k in place.items()], "id long, p double")
         on = lambda c: p.select(F.col("id").alias(c), F.col("p").alias(f"{c}_p"))
-        moved = state.join(on("src"), "src").join(on("dst"), "dst").withColumn("q", F.col("diameter") / F.col("length") * (F.col("src_p") - F.col("dst_p")))
+        drop = F.coalesce(F.col("src_p") - F.col("dst_p"), F.lit(0.0))
+        moved = state.join(on("src"), "src", "left").join(on("dst"), "dst", "left").withColumn("q", F.col("diameter") / F.col("length") * drop)
         power = F.pow(F.abs("q"), F.lit(gamma))
         state = cut(moved.select("src", "dst", "length", (F.col("diameter") + dt * (power / (1 + power) - decay * F.col("diameter"))).alias("diameter"), F.col("q").alias("flow")))
     return state.select("src", "dst", "diameter", "flow")

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraloom.operators import analysis, generators, network, simulation
+from terraloom.plans import queries_more  # noqa: F401
+from terraloom.plans.registry import QUERIES
 from terraloom.sources import osm, pbf, rasters, vector
 
 
@@ -20,6 +22,23 @@ def test_slime_mould_prefers_the_short_way(spark):
     assert got[0, 1].flow + got[0, 2].flow == pytest.approx(1)
 
 
+def test_slime_mould_of_separate_components(spark):
+    nodes = spark.createDataFrame([(k, float(k), 0.0) for k in (0, 1, 2, 3, 4, 5, 9)], "id long, x double, y double")
+    links = spark.createDataFrame([(0, 1, 1.0, 1.0), (0, 2, 1.0, 3.0), (1, 2, 1.0, 3.0), (3, 4, 1.0, 0.3), (4, 5, 1.0, 0.7), (3, 5, 1.0, 0.9)], "src long, dst long, weight double, length double")
+    run = lambda source, sink, net=network.Network(nodes, links): {(r.src, r.dst): (r.diameter, r.flow) for r in simulation.slime_mould(net, source, sink, rounds=2).collect()}
+    still = {(r.src, r.dst): (1.0, 0.0) for r in links.collect()}
+    assert run(0, 4) == run(9, 0) == run(0, 7) == still  # no path; a lone node; not in the network
+    got = run(0, 1)
+    assert got[0, 1][1] + got[0, 2][1] == pytest.approx(1) and got[0, 2][1] == pytest.approx(got[1, 2][1] * -1)
+    assert all(got[k] == (pytest.approx(0.81), 0.0) for k in ((3, 4), (4, 5), (3, 5)))
+
+
+def test_slime_mould_query_where_no_trade_stands_out(spark):
+    """On sf0.1 no pair of nations trades a quarter above the mean, so the network has no links; on sf0.001 nation 0 has none."""
+    assert QUERIES["net_slime_mould"](spark, "/root/testdata/sf0.1").collect() == []
+    assert {(r.diameter, r.flow) for r in QUERIES["net_slime_mould"](spark, "/root/testdata/sf0.001").collect()} == {(1.0, 0.0)}
+
+
 def test_multiscale_keeps_people(spark):
     pops = spark.createDataFrame([(1, 100.0), (2, 50.0)], "city int, pop double")
     growth = spark.createDataFrame([(1, 0.5)], "city int, growth double")
