@@ -105,20 +105,33 @@ def free_slots(grid_: DataFrame, x: float, y: float, n: int) -> DataFrame:
 def swarm_step(agents: DataFrame, world: float, *, seed: int, t: int) -> DataFrame:
     """One step of swarm chemistry on a torus: agents (agent, x, y, dx, dy, radius, normal, most, c1, c2, c3, c4, c5) see others within their radius.
 
-    Neighbours are found in cells of the largest radius, sums are aggregated first, so no agent gathers its neighbours.
+    Neighbours are found in cells of the largest radius, sums are aggregated first, so no agent gathers its neighbours. Agents at one
+    place count together: places are joined, not agents, and each agent takes itself off the sums of its place.
     """
     cell = agents.agg(F.max("radius")).first()[0] or 1.0
     n = max(1, math.floor(world / cell))
     cell = world / n
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted({(a % n, b % n) for a in (-1, 0, 1) for b in (-1, 0, 1)})]))
-    seek = agents.withColumn("o", around).withColumns({"tx": ((F.floor(F.col("x") / cell) + F.col("o.a")) % n), "ty": ((F.floor(F.col("y") / cell) + F.col("o.b")) % n)}).select("agent", "x", "y", "radius", "tx", "ty")
-    others = agents.select(F.col("agent").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("dx").alias("ox_v"), F.col("dy").alias("oy_v"), (F.floor(F.col("x") / cell) % n).alias("tx"), (F.floor(F.col("y") / cell) % n).alias("ty"))
-    wrap = lambda a, b: (F.col(a) - F.col(b)) - world * F.round((F.col(a) - F.col(b)) / world)
-    near = seek.join(others, ["tx", "ty"]).where("agent <> other").withColumns({"gx": wrap("ox", "x"), "gy": wrap("oy", "y")})
+    tile = lambda c: F.pmod(F.floor(F.col(c) / cell), F.lit(n))
+    seek = agents.select("x", "y", "radius").distinct().withColumn("o", around).select("x", "y", "radius", ((tile("x") + F.col("o.a")) % n).alias("tx"), ((tile("y") + F.col("o.b")) % n).alias("ty"))
+    others = agents.groupBy(F.col("x").alias("ox"), F.col("y").alias("oy")).agg(F.count("*").alias("k"), *[f(v).alias(f"{v}_{name}") for v in ("dx", "dy") for name, f in (("sum", F.sum), ("k", F.count))])
+    others = others.withColumns({"tx": tile("ox"), "ty": tile("oy")})
+    half_up = lambda q: F.signum(q) * (F.floor(F.abs(q)) + F.when(F.abs(q) - F.floor(F.abs(q)) >= 0.5, 1).otherwise(0))  # noqa: E731  # as F.round, which goes through decimals
+    wrap = lambda a, b: (F.col(a) - F.col(b)) - world * half_up((F.col(a) - F.col(b)) / world)
+    near = seek.join(others, ["tx", "ty"]).withColumns({"gx": wrap("ox", "x"), "gy": wrap("oy", "y")})
     d2 = F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")
     near = near.where(d2 <= F.col("radius") * F.col("radius"))
-    seen = near.groupBy("agent").agg(F.avg("gx").alias("mx"), F.avg("gy").alias("my"), F.avg("ox_v").alias("vx"), F.avg("oy_v").alias("vy"), F.sum(-F.col("gx") / F.greatest(d2, F.lit(1e-6))).alias("rx"), F.sum(-F.col("gy") / F.greatest(d2, F.lit(1e-6))).alias("ry"))
-    rows = agents.join(seen, "agent", "left")
+    near = near.withColumns({"rx": -F.col("gx") / F.greatest(d2, F.lit(1e-6)), "ry": -F.col("gy") / F.greatest(d2, F.lit(1e-6))})
+    parts = ("gx", "gy", "rx", "ry")
+    near = near.withColumns({f"{c}_high": F.rint(F.col(c) * 2.0**32) / 2.0**32 for c in parts})  # high parts add up exactly, so opposite ones cancel in any order
+    sums = {"k": F.col("k")} | {f"{c}_high": F.col("k") * F.col(f"{c}_high") for c in parts} | {f"{c}_low": F.col("k") * (F.col(c) - F.col(f"{c}_high")) for c in parts}
+    sums |= {c: F.col(c) for c in ("dx_sum", "dx_k", "dy_sum", "dy_k")}
+    seen = near.groupBy("x", "y", "radius").agg(*[F.sum(v).alias(c) for c, v in sums.items()])
+    mean = lambda total, count: F.when(count > 0, total / count)
+    velocity = lambda v: mean(F.col(f"{v}_sum") - F.coalesce(v, F.lit(0.0)), F.col(f"{v}_k") - F.col(v).isNotNull().cast("int"))
+    total = lambda c: F.col(f"{c}_high") + F.col(f"{c}_low")
+    centre = {f"m{c}": mean(total(f"g{c}"), F.col("k") - 1) for c in ("x", "y")}
+    rows = agents.join(seen, ["x", "y", "radius"], "left").withColumns(centre | {"vx": velocity("dx"), "vy": velocity("dy"), "rx": total("rx"), "ry": total("ry")})
     noise = lambda axis: F.when(uniform(seed, F.lit(t), "agent", F.lit("n")) < F.col("c4"), 10 * (uniform(seed, F.lit(t), "agent", F.lit(axis)) - 0.5)).otherwise(0.0)
     alone = lambda axis: uniform(seed, F.lit(t), "agent", F.lit(f"{axis}a")) - 0.5
     push = lambda m, v, r, own, axis: F.when(F.col("mx").isNotNull(), F.col("c1") * F.col(m) + F.col("c2") * (F.col(v) - F.col(own)) + F.col("c3") * F.col(r)).otherwise(alone(axis)) + noise(axis)
