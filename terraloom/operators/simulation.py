@@ -105,16 +105,23 @@ def free_slots(grid_: DataFrame, x: float, y: float, n: int) -> DataFrame:
 def swarm_step(agents: DataFrame, world: float, *, seed: int, t: int) -> DataFrame:
     """One step of swarm chemistry on a torus: agents (agent, x, y, dx, dy, radius, normal, most, c1, c2, c3, c4, c5) see others within their radius.
 
-    Neighbours are found in cells of the largest radius, sums are aggregated first, so no agent gathers its neighbours. Agents at one
-    place count together: places are joined, not agents, and each agent takes itself off the sums of its place.
+    Neighbours are found in cells of the largest radius, sums are aggregated first, so no agent gathers its neighbours. Where agents
+    share places, places are joined, not agents: those at one place count together, and each agent takes itself off the sums of its place.
     """
-    cell = agents.agg(F.max("radius")).first()[0] or 1.0
+    size = agents.agg(F.max("radius").alias("radius"), F.count("*").alias("agents"), F.count_distinct(F.struct("x", "y")).alias("places")).first()
+    shared = size.places < size.agents
+    cell = size.radius or 1.0
     n = max(1, math.floor(world / cell))
     cell = world / n
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted({(a % n, b % n) for a in (-1, 0, 1) for b in (-1, 0, 1)})]))
     tile = lambda c: F.pmod(F.floor(F.col(c) / cell), F.lit(n))
-    seek = agents.select("x", "y", "radius").distinct().withColumn("o", around).select("x", "y", "radius", ((tile("x") + F.col("o.a")) % n).alias("tx"), ((tile("y") + F.col("o.b")) % n).alias("ty"))
-    others = agents.groupBy(F.col("x").alias("ox"), F.col("y").alias("oy")).agg(F.count("*").alias("k"), *[f(v).alias(f"{v}_{name}") for v in ("dx", "dy") for name, f in (("sum", F.sum), ("k", F.count))])
+    seek = agents.select("x", "y", "radius")
+    seek = (seek.distinct() if shared else seek).withColumn("o", around).select("x", "y", "radius", ((tile("x") + F.col("o.a")) % n).alias("tx"), ((tile("y") + F.col("o.b")) % n).alias("ty"))
+    others = agents.withColumnsRenamed({"x": "ox", "y": "oy"})
+    if shared:
+        others = others.groupBy("ox", "oy").agg(F.count("*").alias("k"), *[f(v).alias(f"{v}_{name}") for v in ("dx", "dy") for name, f in (("sum", F.sum), ("k", F.count))])
+    else:
+        others = others.select("ox", "oy", F.lit(1).alias("k"), *[c for v in ("dx", "dy") for c in (F.col(v).alias(f"{v}_sum"), F.col(v).isNotNull().cast("int").alias(f"{v}_k"))])
     others = others.withColumns({"tx": tile("ox"), "ty": tile("oy")})
     half_up = lambda q: F.signum(q) * (F.floor(F.abs(q)) + F.when(F.abs(q) - F.floor(F.abs(q)) >= 0.5, 1).otherwise(0))  # noqa: E731  # as F.round, which goes through decimals
     wrap = lambda a, b: (F.col(a) - F.col(b)) - world * half_up((F.col(a) - F.col(b)) / world)
@@ -123,7 +130,7 @@ def swarm_step(agents: DataFrame, world: float, *, seed: int, t: int) -> DataFra
     near = near.where(d2 <= F.col("radius") * F.col("radius"))
     near = near.withColumns({"rx": -F.col("gx") / F.greatest(d2, F.lit(1e-6)), "ry": -F.col("gy") / F.greatest(d2, F.lit(1e-6))})
     parts = ("gx", "gy", "rx", "ry")
-    near = near.withColumns({f"{c}_high": F.rint(F.col(c) * 2.0**32) / 2.0**32 for c in parts})  # high parts add up exactly, so opposite ones cancel in any order
+    near = near.withColumns({f"{c}_high": F.rint(F.col(c) * 2.0**32) / 2.0**32 if shared else F.col(c) for c in parts})  # high parts add up exactly: opposite terms of many agents cancel in any order
     sums = {"k": F.col("k")} | {f"{c}_high": F.col("k") * F.col(f"{c}_high") for c in parts} | {f"{c}_low": F.col("k") * (F.col(c) - F.col(f"{c}_high")) for c in parts}
     sums |= {c: F.col(c) for c in ("dx_sum", "dx_k", "dy_sum", "dy_k")}
     seen = near.groupBy("x", "y", "radius").agg(*[F.sum(v).alias(c) for c, v in sums.items()])
